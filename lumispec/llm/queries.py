@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import chat, licenses, quality, urls
 
 QUERIES = {
+    "op3_chat_formatting": chat.op3_chat_formatting,
+    "op5_url_filters": urls.op5_url_filters,
+    "op6_license_scans": licenses.op6_license_scans,
     "op8_quality_rules": quality.op8_quality_rules,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_chat_formatting": chat.SQL_OP3,
+    "op5_url_filters": urls.SQL_OP5,
+}
