@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, quality, urls
+from . import chat, licenses, pii, quality, urls
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op5_url_filters": urls.op5_url_filters,
     "op6_license_scans": licenses.op6_license_scans,

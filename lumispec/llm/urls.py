@@ -46,11 +46,10 @@ def events(rules: DataFrame) -> DataFrame:
     labels = F.split("key", r"\.")  # the last is empty
     above = hosts.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda n: F.concat(F.array_join(F.slice(labels, F.lit(1), n), "."), F.lit(".")))).alias("up"))
     stacks = above.join(keyed.withColumnRenamed("key", "up"), "up").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("up", "rule"))).alias("all"))
-    full = F.transform("all", lambda x: x["rule"])
-    outer = F.transform(F.filter("all", lambda x: x["up"] != F.col("key")), lambda x: x["rule"])
-    start = stacks.select("key", F.lit(1).alias("kind"), full.alias("stack"))
+    stacks = stacks.select("key", F.transform("all", lambda x: x["rule"]).alias("full"), F.transform(F.filter("all", lambda x: x["up"] != F.col("key")), lambda x: x["rule"]).alias("outer"))
+    start = stacks.select("key", F.lit(1).alias("kind"), F.col("full").alias("stack"))
     # The interval ends before "net.example/"; kind 0 puts an end before a start of the same key.
-    end = stacks.select(F.concat(F.expr("substr(key, 1, length(key) - 1)"), F.lit("/")).alias("key"), F.lit(0).alias("kind"), outer.alias("stack"))
+    end = stacks.select(F.concat(F.expr("substr(key, 1, length(key) - 1)"), F.lit("/")).alias("key"), F.lit(0).alias("kind"), F.col("outer").alias("stack"))
     return start.unionByName(end)
 
 
