@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, pii, quality, urls
+from . import bpe, chat, licenses, packing, pii, quality, shards, urls
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op5_url_filters": urls.op5_url_filters,
     "op6_license_scans": licenses.op6_license_scans,
+    "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op10_token_output": shards.op10_token_output,
 }
 
 ORACLE: dict[str, str] = {
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_chat_formatting": chat.SQL_OP3,
     "op5_url_filters": urls.SQL_OP5,
 }
