@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, licenses, packing, pii, quality, shards, urls
+from . import bpe, chat, licenses, media, packing, pii, quality, shards, urls
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_license_scans": licenses.op6_license_scans,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_media_columns": media.op9_media_columns,
     "op10_token_output": shards.op10_token_output,
 }
 
