@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumispec.llm import quality
+from lumispec.llm import jaccard, packing, pii, quality
 from lumispec.llm.common import stored, table
 
 STAGES = [
     ("quality rules", quality.stage),
+    ("n-gram Jaccard join", jaccard.stage),
+    ("PII", pii.stage),
+    ("best-fit packing", packing.stage),
 ]
 
 #: Line-first cleaning, MinHash and packing have no SQL form; tests/llm holds run() against a brute-force version.

@@ -48,3 +48,8 @@ def words(text: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def where_computed(df: DataFrame, condition: str) -> DataFrame:
+    """df.where(condition) for conditions on costly columns: without this, the optimizer would copy the columns' expressions into the filter and compute them twice."""
+    return df.withColumn("_row", F.monotonically_increasing_id()).where(F.expr(condition) & (F.col("_row") >= 0)).drop("_row")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, words
+from .common import SPACE, SPACE_CHARS, where_computed, words
 
 # Phrases of navigation and of boilerplate, lower case.
 NAVIGATION = ("home", "menu", "log in", "login", "sign in", "sign up", "register", "next page", "previous page", "back to top", "read more", "skip to content", "sitemap", "share this")
@@ -91,5 +91,5 @@ def op8_quality_rules(spark, sf_dir):
 
 def stage(spark, docs, sf_dir):
     """Pipeline: rejected documents go; the others go on with their cleaned text."""
-    out = judge(docs.select("doc_id", "text", "lang", "source")).where("kept")
+    out = where_computed(judge(docs.select("doc_id", "text", "lang", "source")), "kept")
     return out.select("doc_id", F.col("cleaned").alias("text"), "lang", "source", F.length("cleaned").cast("long").alias("n_chars"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, licenses, media, packing, pii, quality, shards, urls
+from . import bpe, chat, jaccard, licenses, media, packing, pii, quality, shards, urls
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_chat_formatting": chat.op3_chat_formatting,
+    "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
     "op5_url_filters": urls.op5_url_filters,
     "op6_license_scans": licenses.op6_license_scans,
     "op7_byte_bpe": bpe.op7_byte_bpe,
