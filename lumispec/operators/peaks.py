@@ -39,8 +39,7 @@ def accept(peaks: DataFrame, nrmse_max: float = math.inf, area: tuple[float, flo
         ok &= F.col("norm_rmse") <= F.lit(nrmse_max)
     if excluded:
         ok &= ~overlaps(F.col("ppm_infl_min"), F.col("ppm_infl_max"), excluded) if "ppm_infl_min" in peaks.columns else ~in_regions(F.col("ppm"), excluded)
-    ok = F.coalesce(ok, F.lit(False))
-    return peaks.withColumn("accepted", ok) if keep_rejected else peaks.where(ok)
+    return peaks.withColumn("accepted", F.coalesce(ok, F.lit(False))) if keep_rejected else peaks.where(ok)
 
 
 def overlaps(lo: Column, hi: Column, regions: dict) -> Column:
