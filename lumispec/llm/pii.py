@@ -19,12 +19,12 @@ rows count as documents of their own); an empty table gives an empty table; term
 
 from __future__ import annotations
 
-from functools import partial, reduce
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, stored, table
+from .common import let, stored, table, where_computed
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns start where a run of their first characters does, or where the last match ended, and never give back
@@ -112,7 +112,7 @@ def terms(text: Column) -> Column:
 
 
 def contexts(df: DataFrame) -> DataFrame:
-    """(entity, term, context): once a document, what stands within WINDOW terms of an entity, with the hash of all the document's contexts."""
+    """(entity, term, context): once a document, what stands within WINDOW terms of an entity, with the hash of all the document's contexts; a null term for the entity itself."""
     text = F.col("_text")
 
     def near(s: Column, e: Column) -> Column:
@@ -121,28 +121,38 @@ def contexts(df: DataFrame) -> DataFrame:
         after = F.substr(text, e.cast("int") + 1, F.lit(REACH))
         hide = lambda c: F.regexp_replace(c, ANY, " ")
         found = F.concat(F.slice(F.reverse(terms(hide(before))), 1, WINDOW), F.slice(terms(hide(after)), 1, WINDOW))
-        return F.filter(found, lambda t: F.regexp_like(t, F.lit(r"\p{L}")))
+        return F.concat(F.array(F.lit(None).cast("string")), F.filter(found, lambda t: F.regexp_like(t, F.lit(r"\p{L}"))))
 
     pairs = of_kinds(lambda k, x: F.transform(near(x["s"], x["e"]), lambda t: F.struct(entity(k, x).alias("entity"), t.alias("term"))))
-    hit = df.where(reduce(lambda a, b: a | b, (F.size(f"_{k}") > 0 for k in KINDS))).select(F.array_distinct(F.flatten(pairs)).alias("p"))
+    hit = where_computed(df, " or ".join(f"size(_{k}) > 0" for k in KINDS)).select(F.array_distinct(F.flatten(pairs)).alias("p"))
     return hit.select(F.xxhash64("p").alias("context"), F.explode("p").alias("x")).select("x.entity", "x.term", "context")
 
 
 def disclosing(df: DataFrame) -> DataFrame | None:
-    """(term, reveals): the terms that reveal some entity by GENERALISE or more, from counts over all of df; None if no pair has support."""
-    n = df.count()
-    pairs = contexts(df).groupBy("entity", "term").agg(F.count("*").alias("both"), F.min("context").alias("a"), F.max("context").alias("b"))
-    pairs = stored(pairs.where((F.col("both") >= SUPPORT) & (F.col("a") != F.col("b"))).select("entity", "term", "both"), "pii-pairs")
+    """(term, reveals): the terms that reveal some entity by GENERALISE or more, from counts over all of df; None if there are none.
+
+    A term's own count over the corpus is needed only where its pair can still reach GENERALISE; the documents that
+    hold it in a context are a lower bound of that count, so common words are out before any text is read again.
+    """
+    total = F.lit(float(max(df.count(), 2)))
+    seen = stored(contexts(df), "pii-contexts")
+
+    def reveals(n_term: str) -> Column:
+        p_both, p_entity, p_term = (F.least(F.col(c) / total, F.lit(1.0)) for c in ("both", "n_entity", n_term))
+        return F.try_divide(F.log2(p_both / (p_entity * p_term)), -F.log2(p_entity))
+
+    pairs = seen.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("both"), F.min("context").alias("a"), F.max("context").alias("b")).where((F.col("both") >= SUPPORT) & (F.col("a") != F.col("b")))
+    of_entity = seen.where("term is null").groupBy("entity").agg(F.count("*").alias("n_entity"))
+    in_contexts = seen.where("term is not null").groupBy("term").agg(F.countDistinct("context").alias("n_context"))
+    pairs = pairs.join(of_entity, "entity").join(in_contexts, "term").where(reveals("n_context") >= GENERALISE)
+    pairs = stored(pairs.select("term", "both", "n_entity"), "pii-pairs")
     if pairs.isEmpty():
         return None
-    of_entity = df.select(F.explode(F.array_distinct(of_kinds(entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    wanted = pairs.select("term").distinct()
-    of_term = document_terms(df).join(small(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    both = pairs.join(of_entity, "entity").join(of_term, "term")
-    total = F.lit(float(max(n, 2)))
-    p_both, p_entity, p_term = (F.least(F.col(c) / total, F.lit(1.0)) for c in ("both", "n_entity", "n_term"))
-    reveals = F.try_divide(F.log2(p_both / (p_entity * p_term)), -F.log2(p_entity))
-    return both.select("term", reveals.alias("reveals")).groupBy("term").agg(F.max("reveals").alias("reveals")).where(F.col("reveals") >= GENERALISE)
+    # Counted first, joined then: what is joined is a vocabulary, not its places in the corpus.
+    of_term = document_terms(df).groupBy("term").agg(F.count("*").alias("n_term"))
+    found = pairs.join(of_term, "term").select("term", reveals("n_term").alias("reveals"))
+    found = stored(found.groupBy("term").agg(F.max("reveals").alias("reveals")).where(F.col("reveals") >= GENERALISE), "pii-disclosing")
+    return None if found.isEmpty() else found
 
 
 def document_terms(df: DataFrame, *keep: str) -> DataFrame:
