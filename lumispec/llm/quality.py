@@ -55,10 +55,10 @@ def repeat_words(df: DataFrame, words_col: str, out: str) -> DataFrame:
     return df.withColumn(out, F.when(at.isNull(), F.lit(0)).otherwise(F.size(covered)).cast("long")).drop("_wh", "_tri", "_sorted", "_at")
 
 
-def judge(df: DataFrame, text_col: str = "text") -> DataFrame:
+def judge(df: DataFrame, text_col: str = "text", only_kept: bool = False) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, cleaned (the text without failing lines) and n_lines_removed.
 
-    Columns of df with these names are replaced.
+    Columns of df with these names are replaced. To filter by kept, ask for only_kept, or see where_computed().
     """
     df = df.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     t = F.col("_text")
@@ -80,7 +80,8 @@ def judge(df: DataFrame, text_col: str = "text") -> DataFrame:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     df = df.withColumns({"base_failed": failed, "n_lines_removed": (F.size(lines) - F.size("_good")).cast("long"), "_kept_chars": kept_chars})
     df = df.withColumn("kept", ~F.col("base_failed") & (F.col("_kept_chars") >= MIN_KEPT * F.col("word_chars")))
-    return df.drop("_text", "_words", "_lines", "_full", "_good", "_kept_chars")
+    df = df.drop("_text", "_words", "_lines", "_full", "_good", "_kept_chars")
+    return where_computed(df, "kept") if only_kept else df
 
 
 def op8_quality_rules(spark, sf_dir):
@@ -91,5 +92,5 @@ def op8_quality_rules(spark, sf_dir):
 
 def stage(spark, docs, sf_dir):
     """Pipeline: rejected documents go; the others go on with their cleaned text."""
-    out = where_computed(judge(docs.select("doc_id", "text", "lang", "source")), "kept")
+    out = judge(docs.select("doc_id", "text", "lang", "source"), only_kept=True)
     return out.select("doc_id", F.col("cleaned").alias("text"), "lang", "source", F.length("cleaned").cast("long").alias("n_chars"))

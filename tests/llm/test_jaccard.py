@@ -104,7 +104,7 @@ def test_pipeline(spark):
     from lumispec.llm import packing, pii, quality
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = {r.doc_id: r.cleaned for r in quality.judge(docs.select("doc_id", "text")).where("kept").collect()}
+    kept = {r.doc_id: r.cleaned for r in quality.judge(docs.select("doc_id", "text"), only_kept=True).collect()}
     classes = brute(list(kept.items()))
     stay = {d for d, c, _, _ in classes if d == c}
     assert 0 < len(stay) < len(kept) < docs.count()
