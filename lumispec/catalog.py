@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import average_rank, natural_key
-from .operators import model, peaks, spectra
+from .operators import analysis, model, peaks, spectra
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -504,3 +504,26 @@ def vip_bootstrap(spark, sf):
 def permutation_test(spark, sf):
     x = spectra.to_arrays(grid(spark, sf)).join(classes(spark, sf).where("label in (0, 1)"), "sample_id")
     return model.permutation_test(x, "label", n=8, ncomp=2)
+
+
+@query(G + ", p as (select * from g where ppm >= 5.2::double and ppm < 6.5::double), m as (select sample_id, median(intensity) as m from p group by 1), t as (select sample_id, any_value(m) + 3 * 1.4826::double * median(abs(intensity - m)) as th from p join m using (sample_id) group by 1) select sample_id, idx, intensity > th as over from g left join t using (sample_id)")
+def threshold_overlay(spark, sf):
+    t = spectra.threshold(grid(spark, sf), (5.2, 6.5), "median3mad")
+    return analysis.threshold_overlay(grid(spark, sf), t).select("sample_id", "idx", (F.col("intensity") > F.col("threshold")).alias("over"))
+
+
+@query()
+def double_cv(spark, sf):
+    x = spectra.to_arrays(grid(spark, sf)).join(classes(spark, sf).where("label in (0, 1)"), "sample_id")
+    return analysis.double_cv(x, "label", outer=3, inner=2, method=analysis.plsda_method(3))[2]
+
+
+@query()
+def kfold_vip(spark, sf):
+    x = spectra.to_arrays(grid(spark, sf)).join(classes(spark, sf).where("label in (0, 1)"), "sample_id")
+    return analysis.kfold_vip(x, "label", k=3, n=6, ncomp=2)
+
+
+@query()
+def pca_variances(spark, sf):
+    return analysis.variances(spectra.to_arrays(grid(spark, sf)), 5)
