@@ -18,7 +18,6 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
-    "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_chat_formatting": chat.SQL_OP3,
     "op5_url_filters": urls.SQL_OP5,
 }
