@@ -34,10 +34,10 @@ from .common import stored, table
 N, THRESHOLD = 5, 0.8
 TREES, LEVELS, RECALL = 48, 16, 0.9998
 #: A block of a component: at most about so many members and shingles.
-MEMBERS, SHINGLES = 1024, 1 << 20
+MEMBERS, SHINGLES = 512, 1 << 20
 #: Broadcast at most so many rows of (id, key); more go through a shuffle.
 BROADCAST_ROWS = 200_000
-WORDS = 500_000
+WORDS = 200_000
 
 
 def depth(threshold: float = THRESHOLD, trees: int = TREES, levels: int = LEVELS, recall: float = RECALL) -> int:
@@ -249,7 +249,10 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame
     nodes = signed.where("nodes is not null").dropDuplicates(["key"]).select("key", F.explode("nodes").alias("at"))
     nodes = stored(nodes, "nodes")
     several = stored(nodes.groupBy("at").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last").select("at", "first"), "several")
-    edges = nodes.join(several, "at").where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b")).distinct()
+    # At most TREES firsts for a key: it links to the smallest, and so do the others, of which there are few.
+    firsts = nodes.join(several, "at").groupBy("key").agg(F.collect_set("first").alias("all"))
+    firsts = firsts.select("key", F.array_min("all").alias("least"), "all")
+    edges = firsts.select(F.col("key").alias("a"), F.col("least").alias("b")).unionByName(firsts.select(F.explode("all").alias("a"), F.col("least").alias("b")).distinct()).where("a <> b")
     found = stored(verified(docs, reps.select("doc_id", "key", "size"), components(edges, "met"), n, threshold), "verified")
     labels = components(found.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")), "near")
     links = found.groupBy("key").agg(F.sum("links").alias("n_links"))
