@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .functions import average_rank, natural_key
+from .functions import natural_key
 from .operators import analysis, model, peaks, spectra
 
 QUERIES: dict = {}
