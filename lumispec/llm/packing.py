@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
-from .tokens import encoded
+from .tokens import REMEMBER, encoded
 
 CAPACITY = 2048
 #: Fillings that are looked at for one sequence, and that are taken over the whole search, at most.
-FILLINGS, NODES = 400, 50_000
+FILLINGS, NODES = 400, 2_000
 
 
 def fillings(room: int, lengths: list[int], counts: dict[int, int], most_waste: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -136,13 +136,13 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tu
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("nth", pa.int64())])
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool = True, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool = True, capacity: int = CAPACITY, remember: int = REMEMBER) -> DataFrame:
     """The pieces of docs (doc_id, text), each with the task that cut it and its rank among that task's pieces of its length."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), Counter()
         end = np.uint32(end_id).tobytes()
-        for batch, ids in encoded(batches, "text", tokenizer, spaced):
+        for batch, ids in encoded(batches, "text", tokenizer, spaced, remember):
             rows = []
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), ids):
                 raw += end
@@ -194,11 +194,13 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def op2_best_fit_packing(spark, sf_dir):
-    return stage(spark, table(spark, sf_dir, "documents"), sf_dir)
+    import public_tokenizers
+
+    return pack(pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0))
 
 
 def stage(spark, docs, sf_dir):
-    """Pipeline: the sequences of all documents."""
+    """Pipeline: the sequences of all documents. Its workers also serve the other stages, so they remember fewer pieces."""
     import public_tokenizers
 
-    return pack(pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), 0))
+    return pack(pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), 0, remember=200_000))

@@ -11,15 +11,16 @@ from __future__ import annotations
 import functools
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-#: So many pieces are remembered; then those not met again among as many others are forgotten.
+#: So many pieces are remembered; then those not met again among as many others are forgotten. About 200 bytes each.
 REMEMBER = 700_000
 #: So many characters are encoded at a time.
 CHUNK = 1_000_000
-SEPARATOR = "\ue000"
+SEPARATOR = "|"
 SEPARATED = f" {SEPARATOR} "
 
 
@@ -29,11 +30,11 @@ class Pieces:
     spaced: a piece's ids depend on the space before it (byte-level vocabularies); else white space leaves no ids.
     """
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, remember: int = REMEMBER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
+        self.tokenizer, self.spaced, self.remember = Tokenizer.from_file(path), spaced, remember
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -43,6 +44,8 @@ class Pieces:
         else:
             self.mark = np.asarray(self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids, "<u4")
 
+        self.marks = dict(zip(",.", self.whole([",", "."])))
+
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -68,41 +71,63 @@ class Pieces:
     def safe(self, piece: str) -> bool:
         return bool(piece) and not piece[0].isspace() and not piece[-1].isspace() if self.spaced else SEPARATOR not in piece
 
+    def find(self, piece: str) -> bytes | None:
+        ids = self.known.get(piece)
+        if ids is None and (ids := self.before.get(piece)) is not None:
+            self.known[piece] = ids
+        return ids
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
+        # Without spaces before them, only letters' case sets pieces apart; a sigma's lower case depends on its place.
+        cut = [t.split(" ") if self.spaced or "Σ" in t else t.lower().split(" ") for t in texts]
         if self.spaced:
             firsts = [c[0] for c in cut]
             heads = self.whole(firsts)
             cut = [c[1:] for c in cut]
-        parts = set().union(*cut)
-        if len(self.known) > REMEMBER:
+        if len(self.known) > self.remember:
             self.known, self.before = {}, self.known
-        new = parts.difference(self.known)
-        self.known.update({p: self.before[p] for p in new.intersection(self.before)})
-        new = [p for p in new if p not in self.before and self.safe(p)]
+        # What these texts hold is looked up once in the large memory, and then in a small one.
+        here = dict.fromkeys(chain.from_iterable(cut))
+        new, marked = set(), []
+        for p in here:
+            here[p] = ids = self.find(p)
+            if ids is None:
+                # A comma or stop after a letter is a token of its own, so only the word before it need be known.
+                word = p[:-1]
+                if p[-1:] in self.marks and word[-1:].isalpha() and self.safe(word):
+                    marked.append(p)
+                    if word not in new and self.find(word) is None:
+                        new.add(word)
+                elif self.safe(p):
+                    new.add(p)
         if new:
-            self.known.update(zip(new, self.together(new)))
+            new = list(new)
+            got = dict(zip(new, self.together(new)))
+            self.known |= got
+            here |= got
+        for p in marked:
+            here[p] = self.known[p] = self.known[p[:-1]] + self.marks[p[-1]]
         out = []
         for i, c in enumerate(cut):
             try:
                 if self.spaced and c and (not heads[i] or not self.safe(firsts[i])):
                     raise KeyError
-                body = b"".join(map(self.known.__getitem__, c))
+                body = b"".join(map(here.__getitem__, c))
                 out.append(heads[i] + body if self.spaced else body)
-            except KeyError:
+            except (KeyError, TypeError):  # a piece that is not safe has no ids
                 out += self.whole([texts[i]])
         return out
 
 
 @functools.cache
-def pieces_of(path: str, spaced: bool) -> Pieces:
+def pieces_of(path: str, spaced: bool, remember: int) -> Pieces:
     """One memory for all tasks of a worker process."""
-    return Pieces(path, spaced)
+    return Pieces(path, spaced, remember)
 
 
-def encoded(batches: Iterator[pa.RecordBatch], column: str, path: str, spaced: bool) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def encoded(batches: Iterator[pa.RecordBatch], column: str, path: str, spaced: bool, remember: int = REMEMBER) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches, each with the ids of its texts (null: empty); a slice holds about CHUNK characters, or one text."""
-    pieces = pieces_of(path, spaced)
+    pieces = pieces_of(path, spaced, remember)
     for batch in batches:
         texts = batch.column(column).to_pylist()
         start = held = 0
