@@ -5,7 +5,9 @@ gets a histogram, never the pieces, and its search has the same size for any cor
 the largest remaining piece: it enumerates fillings of what room is left, leaves out dominated ones (where a larger
 unused piece could take the place of one in the filling), tries the best fit first and takes it as often as the
 histogram allows; a branch is cut where its waste so far is more than the incumbent's would allow. It ends when the
-incumbent meets the bound ceil(total / CAPACITY), or after NODES fillings.
+incumbent meets the bound ceil(total / CAPACITY), or with the descent that brings it to NODES fillings and DESCENTS
+descents. A descent is never cut short by the count: it can need more fillings than there are lengths. The first
+incumbent is the better of best fit and first fit, decreasing.
 
 The pieces learn their places by their rank among those of their length. Ranks are counted in two steps, within the
 task that cut a piece and over tasks, so that a length with a third of all pieces is no single task's work.
@@ -30,50 +32,61 @@ from .common import stored, table
 from .tokens import REMEMBER, encoded
 
 CAPACITY = 2048
-#: Fillings that are looked at for one sequence, and that are taken over the whole search, at most.
-FILLINGS, NODES = 400, 2_000
+#: Fillings that are looked at for one sequence, at most; fillings and descents after which the search starts no further descent, once both are reached.
+FILLINGS, NODES, DESCENTS = 400, 50_000, 16
 
 
-def fillings(room: int, lengths: list[int], counts: dict[int, int], most_waste: int) -> list[tuple[int, tuple[int, ...]]]:
-    """(waste, lengths) of undominated fillings of the room, best fit first, none with more waste than most_waste where one has less. lengths: descending."""
+def bits(lengths) -> int:
+    """A set of lengths as the bits of a number."""
+    return sum(1 << l for l in set(lengths))
+
+
+def fillings(room: int, counts: dict[int, int], present: int, most_waste: int) -> list[tuple[int, tuple[int, ...]]]:
+    """(waste, lengths) of undominated fillings of the room, best fit first, none with more waste than most_waste where one has less. present: the lengths in counts, as bits."""
     found: list[tuple[int, tuple[int, ...]]] = []
     looked = 0
-    smallest = lengths[-1] if lengths else room + 1
+    fit = present & ((2 << room) - 1)
+    smallest = (fit & -fit).bit_length() - 1 if fit else room + 1
+    used: Counter = Counter()
+    free = present  # lengths of which a piece is unused
 
-    def undominated(left: int, used: Counter) -> bool:
+    def undominated(left: int) -> bool:
         """No piece of the filling can be exchanged for a larger unused one within the room left."""
-        return not any(counts[l] > used[l] for u in used for l in range(u + 1, u + left + 1) if counts.get(l))
+        return not left or not any(free >> (u + 1) & ((1 << left) - 1) for u in used)
 
-    def go(at: int, left: int, chosen: tuple[int, ...], used: Counter) -> bool:
-        nonlocal looked
+    def go(top: int, left: int, chosen: tuple[int, ...]) -> bool:
+        """Adds pieces of at most top."""
+        nonlocal looked, free
         looked += 1
-        if left < smallest or at >= len(lengths):
-            if undominated(left, used):
+        if left < smallest:
+            if undominated(left):
                 found.append((left, chosen))
             return left == 0 or looked > FILLINGS
-        fitted = False
-        for k in range(at, len(lengths)):
-            l = lengths[k]
-            if l <= left and counts[l] > used[l]:
-                fitted = True
-                used[l] += 1
-                done = go(k, left - l, (*chosen, l), used)
-                used[l] -= 1
-                if not used[l]:
-                    del used[l]
-                if done:
-                    return True
-        if not fitted and undominated(left, used):
+        l = (free & ((2 << min(top, left)) - 1)).bit_length() - 1
+        if l < 1 and undominated(left):
             found.append((left, chosen))
+        while l > 0:
+            used[l] += 1
+            if used[l] == counts[l]:
+                free ^= 1 << l
+            done = go(l, left - l, (*chosen, l))
+            if used[l] == counts[l]:
+                free ^= 1 << l
+            used[l] -= 1
+            if not used[l]:
+                del used[l]
+            if done:
+                return True
+            l = (free & ((1 << l) - 1)).bit_length() - 1
         return looked > FILLINGS
 
-    go(0, room, (), Counter())
+    go(room, room, ())
     found.sort(key=lambda f: (f[0], len(f[1])))
     return [f for f in found if f[0] <= most_waste] or found[:1]
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
-    """The first incumbent: each piece, largest first, goes where it leaves least room; by filling one sequence after the other, as counts allow."""
+def first_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """First fit decreasing, by filling one sequence after the other with the largest pieces that fit, as counts allow."""
     left, plan = dict(counts), []
     while left:
         order = sorted(left, reverse=True)
@@ -86,6 +99,43 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int
     return plan
 
 
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """Best fit decreasing: each piece, largest first, goes where it leaves least room. Sequences of equal content are one step, so a length adds two steps at most."""
+    rooms: dict[int, list[tuple[int, tuple[int, ...]]]] = {}  # (times, lengths) by the room left
+    present = 0
+
+    def put(room: int, times: int, chosen: tuple[int, ...]) -> None:
+        nonlocal present
+        if times:
+            rooms.setdefault(room, []).append((times, chosen))
+            present |= 1 << room
+
+    for l in sorted(counts, reverse=True):
+        n = counts[l]
+        while n:
+            fit = present >> l
+            if fit:
+                room = l + (fit & -fit).bit_length() - 1
+                times, chosen = rooms[room].pop()
+                if not rooms[room]:
+                    del rooms[room]
+                    present ^= 1 << room
+            else:
+                room, times, chosen = capacity, -(-n // (capacity // l)), ()
+            # The room a piece leaves is tighter than any other that fits, so a sequence takes pieces while they fit.
+            k = room // l
+            full = min(times, n // k)
+            put(room - k * l, full, (*chosen, *[l] * k))
+            n -= full * k
+            rest = times - full
+            if rest and n:
+                put(room - n * l, 1, (*chosen, *[l] * n))
+                n, rest = 0, rest - 1
+            if chosen:
+                put(room, rest, chosen)
+    return [step for steps in rooms.values() for step in steps]
+
+
 def taken(left: dict[int, int], chosen: list[int] | tuple[int, ...]) -> tuple[int, tuple[int, ...]]:
     """Takes the filling out of left as often as it goes: (times, lengths)."""
     need = Counter(chosen)
@@ -97,39 +147,43 @@ def taken(left: dict[int, int], chosen: list[int] | tuple[int, ...]) -> tuple[in
     return times, tuple(chosen)
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:
-    """(times, lengths) of fillings that together take all pieces; counts: pieces by length."""
+def plan(counts: dict[int, int], capacity: int = CAPACITY, seen: dict | None = None) -> list[tuple[int, tuple[int, ...]]]:
+    """(times, lengths) of fillings that together take all pieces; counts: pieces by length. seen: gets figures of the search."""
     counts = {l: n for l, n in counts.items() if n}
     total = sum(l * n for l, n in counts.items())
     bound = -(-total // capacity)
-    best = best_fit(counts, capacity)
+    best = min(best_fit(counts, capacity), first_fit(counts, capacity), key=lambda p: sum(t for t, _ in p))
     size = sum(t for t, _ in best)
-    nodes = 0
+    nodes = descents = whole = 0
     # Depth first with few deviations from the best fit: at a node, the branch to try and the state before it.
     stack = [(dict(counts), [], 0, 0, 0)]
-    while stack and size > bound and nodes < NODES:
+    while stack and size > bound and (nodes < NODES or descents < DESCENTS):
         left, done, waste, bins, skipped = stack.pop()
+        done, present = list(done), bits(left)
+        descents += 1
+        # A descent ends with the pieces or by its waste, never by the count of nodes.
         while left:
-            nodes += 1
             spare = (size - 1) * capacity - total - waste
-            if spare < 0 or nodes > NODES:
+            if spare < 0:
                 break
-            order = sorted(left, reverse=True)
-            first = order[0]
+            nodes += 1
+            first = present.bit_length() - 1
             left[first] -= 1
-            if not left[first]:
-                del left[first]
-                order = order[1:]
-            options = fillings(capacity - first, [l for l in order if l <= capacity - first], left, spare)
-            left[first] = left.get(first, 0) + 1
+            options = fillings(capacity - first, left, present if left[first] else present ^ 1 << first, spare)
+            left[first] += 1
             if skipped < 2 and len(options) > 1 and len(stack) < 64 and options[1][0] <= spare:
                 other, chosen = dict(left), (first, *options[1][1])
                 t = taken(other, chosen)
                 stack.append((other, [*done, t], waste + options[1][0] * t[0], bins + t[0], skipped + 1))
             t = taken(left, (first, *options[0][1]))
-            done, waste, bins = [*done, t], waste + options[0][0] * t[0], bins + t[0]
+            present ^= bits(l for l in t[1] if l not in left)
+            done.append(t)
+            waste, bins = waste + options[0][0] * t[0], bins + t[0]
+        whole += not left
         if not left and bins < size:
             best, size = done, bins
+    if seen is not None:
+        seen.update(bound=bound, size=size, nodes=nodes, descents=descents, whole=whole)
     return best
 
 
