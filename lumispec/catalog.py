@@ -470,7 +470,7 @@ def align(spark, sf):
 
 @query()
 def peak_clustering(spark, sf):
-    return peaks.linkage(peaks.with_ids(found(spark, sf)).where("sample_id < 100"), 250.0)
+    return peaks.linkage(peaks.with_ids(found(spark, sf)), 250.0)
 
 
 @query()

@@ -209,10 +209,29 @@ def align(y: np.ndarray, ref: np.ndarray, peaks: list[int], ref_peaks: list[int]
 
 
 def complete_linkage(x: np.ndarray, group: np.ndarray, cut: float, factor: float = 3.0) -> np.ndarray:
-    """Cluster numbers of points on a line; two points of a group are factor * cut apart. Merges nearer than cut, nearest first."""
-    n = len(x)
-    d = np.abs(x[:, None] - x[None]).astype(float)
-    d[(group[:, None] == group[None]) & ~np.eye(n, dtype=bool)] = max(factor * cut, d.max(initial=0) * factor)
+    """Cluster numbers of points on a line; two points of a group are factor * cut apart. Merges nearer than cut, nearest first.
+
+    Points at one place merge before all others, each into the first cluster there without its group; so the matrix is of clusters by place, not of points.
+    """
+    group = np.unique(group, return_inverse=True)[1]
+    at: dict[float, list[tuple[int, set[int]]]] = {}  # (first point, groups) of the clusters at a place
+    label = np.arange(len(x))
+    for k, (place, g) in enumerate(zip(x.tolist(), group.tolist())):
+        here = at.setdefault(place, [])
+        for first, groups in here if cut > 0 else ():
+            if g not in groups:
+                groups.add(g)
+                label[k] = first
+                break
+        else:
+            here.append((k, {g}))
+    first, owner = np.unique(label, return_inverse=True)
+    n = len(first)
+    d = np.abs(x[first][:, None] - x[first][None]).astype(float)
+    apart = max(factor * cut, d.max(initial=0) * factor)
+    order = np.argsort(group, kind="stable")
+    for points in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+        d[np.ix_(owner[points], owner[points])] = apart
     np.fill_diagonal(d, np.inf)
     label, alive = np.arange(n), np.ones(n, bool)
     while n > 1:
@@ -226,7 +245,7 @@ def complete_linkage(x: np.ndarray, group: np.ndarray, cut: float, factor: float
         d[j] = d[:, j] = np.inf
         alive[j] = False
         label[label == j] = i
-    return np.searchsorted(np.flatnonzero(alive), label)
+    return np.searchsorted(np.flatnonzero(alive), label)[owner]
 
 
 def pls(x: np.ndarray, y: np.ndarray, ncomp: int, steps: int = 200) -> dict[str, np.ndarray]:

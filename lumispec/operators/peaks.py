@@ -135,6 +135,7 @@ def linkage(peaks: DataFrame, max_ppb: float) -> DataFrame:
     schema = f"peak_id string, cluster string"
 
     def solve(pdf):
+        pdf = pdf.sort_values(["ppm", "peak_id"])  # ties are merged in this order
         out = complete_linkage(pdf["ppm"].to_numpy(), pdf[SAMPLE].to_numpy(), cut)
         first = int(pdf["component"].iloc[0])
         return pdf[["peak_id"]].assign(cluster=[f"{first}_{k}" for k in out])
