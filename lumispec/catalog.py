@@ -490,20 +490,20 @@ def pca_outliers_robust(spark, sf):
 
 @query()
 def plsda_auc(spark, sf):
-    x = spectra.to_arrays(grid(spark, sf)).join(classes(spark, sf).where("label in (0, 1)"), "sample_id")
-    return model.plsda_cv(x, "label", iterations=4, ncomp=3)
+    x = spectra.to_arrays(grid(spark, sf)).join(classes(spark, sf), "sample_id")
+    return model.plsda_cv(x, "label", ncomp=3)
 
 
 @query()
 def vip_bootstrap(spark, sf):
-    x = spectra.to_arrays(grid(spark, sf)).join(classes(spark, sf).where("label in (0, 1)"), "sample_id")
-    return model.vip_bootstrap(x, "label", n=16, ncomp=2)
+    x = spectra.to_arrays(grid(spark, sf)).join(classes(spark, sf), "sample_id")
+    return model.vip_bootstrap(x, "label", ncomp=2)
 
 
 @query()
 def permutation_test(spark, sf):
-    x = spectra.to_arrays(grid(spark, sf)).join(classes(spark, sf).where("label in (0, 1)"), "sample_id")
-    return model.permutation_test(x, "label", n=8, ncomp=2)
+    x = spectra.to_arrays(grid(spark, sf)).join(classes(spark, sf), "sample_id")
+    return model.permutation_test(x, "label", ncomp=2)
 
 
 @query(G + ", p as (select * from g where ppm >= 5.2::double and ppm < 6.5::double), m as (select sample_id, median(intensity) as m from p group by 1), t as (select sample_id, any_value(m) + 3 * 1.4826::double * median(abs(intensity - m)) as th from p join m using (sample_id) group by 1) select sample_id, idx, intensity > th as over from g left join t using (sample_id)")
@@ -514,14 +514,14 @@ def threshold_overlay(spark, sf):
 
 @query()
 def double_cv(spark, sf):
-    x = spectra.to_arrays(grid(spark, sf)).join(classes(spark, sf).where("label in (0, 1)"), "sample_id")
-    return analysis.double_cv(x, "label", outer=3, inner=2, method=analysis.plsda_method(3))[2]
+    x = spectra.to_arrays(grid(spark, sf)).join(classes(spark, sf), "sample_id")
+    return analysis.double_cv(x, "label", method=analysis.plsda_method(3))[2]
 
 
 @query()
 def kfold_vip(spark, sf):
-    x = spectra.to_arrays(grid(spark, sf)).join(classes(spark, sf).where("label in (0, 1)"), "sample_id")
-    return analysis.kfold_vip(x, "label", k=3, n=6, ncomp=2)
+    x = spectra.to_arrays(grid(spark, sf)).join(classes(spark, sf), "sample_id")
+    return analysis.kfold_vip(x, "label", ncomp=2)
 
 
 @query()

@@ -256,17 +256,17 @@ def pls(x: np.ndarray, y: np.ndarray, ncomp: int, steps: int = 200) -> dict[str,
     e, f = (x - mx) / sx, (y - my) / sy
     t_all, w_all, p_all, c_all, coefs = [], [], [], [], []
     for _ in range(min(ncomp, x.shape[0] - 1, x.shape[1])):
-        u = f[:, int(np.argmax((f * f).sum(0)))]
-        w = np.zeros(x.shape[1])
+        # The steps need no sample: with u = f c and t = e w, what they take of e and f is in these two products.
+        ef, ee = e.T @ f, e.T @ e
+        first, w = ef[:, int(np.argmax((f * f).sum(0)))], np.zeros(x.shape[1])
         for _ in range(steps):
-            new = e.T @ u
+            new = first
             size = np.linalg.norm(new)
             if size < 1e-12:
                 break
-            new /= size
-            t = e @ new
-            c = f.T @ t / (t @ t)
-            u = f @ c / max(c @ c, 1e-300)
+            new = new / size
+            c = ef.T @ new / (new @ ee @ new)
+            first = ef @ c / max(c @ c, 1e-300)
             if np.linalg.norm(new - w) < 1e-10:
                 w = new
                 break
