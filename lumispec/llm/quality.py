@@ -19,6 +19,8 @@ NAVIGATION = ("home", "menu", "log in", "login", "sign in", "sign up", "register
 BOILERPLATE = ("cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "use cookies", "subscribe to our newsletter", "lorem ipsum")
 #: Lines with more symbols than this share of their words, or as many words that shout, fail the punctuation rule.
 MAX_SYMBOLS, MAX_SHOUTS = 0.5, 0.5
+#: A line of navigation has at most so many words to a separator.
+WORDS_BETWEEN = 4
 #: A kept document keeps at least this share of the characters in its words.
 MIN_KEPT = 0.5
 
@@ -27,6 +29,14 @@ def count(text: Column, regex: str) -> Column:
     return F.regexp_count(text, F.lit(regex))
 
 
+def trail(line: Column) -> Column:
+    """Three separators or more, and one for every WORDS_BETWEEN words; guillemets around a quotation separate nothing."""
+    bare = F.regexp_replace(F.regexp_replace(line, r"«[^«»]*»|‹[^‹›]*›", "q"), r"»[^«»]*«|›[^‹›]*‹", "q")
+    dense = WORDS_BETWEEN * count(bare, "[|»›]") >= count(line, f"[^{SPACE}|»›]+")
+    likely = F.regexp_like(line, F.lit(r"\S\s*[|»›]\s*\S[^|»›]*[|»›]\s*\S[^|»›]*[|»›]"))
+    return likely & F.regexp_like(bare, F.lit(r"\S\s*[|»›]\s*\S[^|»›]*[|»›]\s*\S[^|»›]*[|»›]")) & dense
+
+
 def line_fails(line: Column) -> Column:
     """True for a line that has words and breaks a rule."""
     n = count(line, f"[^{SPACE}]+")
@@ -34,7 +44,7 @@ def line_fails(line: Column) -> Column:
     symbols = count(line, r"[#*$%&|<>{}\\]") > MAX_SYMBOLS * n
     shouts = (n >= 3) & (count(line, f"[!?]{{2,}}(?=[{SPACE}]|$)") > MAX_SHOUTS * n)
     no_letters = ~F.regexp_like(line, F.lit(r"[\p{L}\p{N}]"))
-    navigation = (n <= 4) & F.regexp_like(low, F.lit(rf"^[{SPACE}]*[>»«‹›]*[{SPACE}]*({'|'.join(NAVIGATION)})[{SPACE}>»«‹›.:]*$")) | F.regexp_like(line, F.lit(r"\S\s*[|»›]\s*\S[^|»›]*[|»›]\s*\S[^|»›]*[|»›]"))
+    navigation = (n <= 4) & F.regexp_like(low, F.lit(rf"^[{SPACE}]*[>»«‹›]*[{SPACE}]*({'|'.join(NAVIGATION)})[{SPACE}>»«‹›.:]*$")) | trail(line)
     boilerplate = (n <= 30) & F.regexp_like(low, F.lit("|".join(BOILERPLATE)))
     return symbols | shouts | no_letters | navigation | boilerplate
 
