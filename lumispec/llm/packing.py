@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
-from .tokens import REMEMBER, encoded
+from .tokens import REMEMBER, encoded, spread
 
 CAPACITY = 2048
 #: Fillings that are looked at for one sequence, at most; fillings and descents after which the search starts no further descent, once both are reached.
@@ -194,20 +194,25 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool = True, ca
     """The pieces of docs (doc_id, text), each with the task that cut it and its rank among that task's pieces of its length."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, seen = TaskContext.get().partitionId(), Counter()
-        end = np.uint32(end_id).tobytes()
-        for batch, ids in encoded(batches, "text", tokenizer, spaced, remember):
-            rows = []
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), ids):
-                raw += end
-                n, at, k = len(raw) // 4, 0, 0
-                while at < n:
-                    to = at + ((n - at) % capacity or capacity)  # the first piece takes what is over
-                    rows.append((doc_id, k, at, to - at, zlib.crc32(raw[4 * at : 4 * to]), task, seen[to - at]))
-                    seen[to - at] += 1
-                    at, k = to, k + 1
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PIECE)], schema=PIECE)
+        task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for batch, ids, offsets in encoded(batches, "text", tokenizer, spaced, end_id, remember):
+            n = np.diff(offsets)
+            first = (n - 1) % capacity + 1  # the first piece takes what is over
+            number = 1 + (n - first) // capacity
+            row = np.repeat(np.arange(len(n)), number)
+            piece = spread(np.zeros(len(n), np.int64), number)
+            start = np.where(piece > 0, first[row] + (piece - 1) * capacity, 0)
+            length = np.where(piece > 0, capacity, first[row])
+            raw, at = memoryview(ids).cast("B"), 4 * (offsets[row] + start)
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
+            # The rank among this task's pieces of its length.
+            order = np.argsort(length, kind="stable")
+            of_length = np.bincount(length, minlength=capacity + 1)
+            nth = np.empty(len(length), np.int64)
+            nth[order] = spread(seen, of_length)
+            seen += of_length
+            columns = [batch.column("doc_id").take(pa.array(row)), piece.astype("i4"), start, length, crc, np.full(len(row), task, "i4"), nth]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c for c, f in zip(columns, PIECE)], schema=PIECE)
 
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long")
 
@@ -257,4 +262,4 @@ def stage(spark, docs, sf_dir):
     """Pipeline: the sequences of all documents. Its workers also serve the other stages, so they remember fewer pieces."""
     import public_tokenizers
 
-    return pack(pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), 0, remember=200_000))
+    return pack(pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), 0, remember=60 << 20))

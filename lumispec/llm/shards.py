@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import partitions, shared_dir, table
 from .tokens import encoded
@@ -121,19 +122,20 @@ def write_shards(docs: DataFrame, directory: str, tokenizer: str, end_id: int, s
         part, out = TaskContext.get().partitionId(), None
         fs, path = file_system(directory)
         name, mine = f"{path}/part-{part:06d}.ids.zst", f"{path}/_part-{part:06d}-{uuid.uuid4().hex}"
-        for batch, ids in encoded(batches, "text", tokenizer, spaced):
+        for batch, ids, offsets in encoded(batches, "text", tokenizer, spaced, end_id):
             if out is None:
                 fs.create_dir(path, recursive=True)
                 out = Writer(fs.open_output_stream(mine, compression=None), 4)
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), ids):
-                out.add(doc_id, np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)))
+            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                out.add(doc_id, ids[a:b])
         if out is not None:
             out.close()
             fs.move(mine, name)
             yield pa.RecordBatch.from_pydict({"part": [part], "name": [name.rpartition("/")[2]], "documents": [out.documents], "ids": [out.ids]}, schema=pa.schema([("part", pa.int32()), ("name", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())]))
 
     n = partitions(docs.sparkSession)
-    dealt = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one id are dealt by how their texts begin, too, which is in line with the order of whole texts.
+    dealt = docs.select("doc_id", "text").repartitionByRange(n, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     rows = dealt.mapInArrow(write, "part int, name string, documents long, ids long").collect()  # a row a file
     return sorted((r["part"], f"{directory}/{r['name']}", r["documents"], r["ids"]) for r in rows)
 
