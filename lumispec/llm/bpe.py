@@ -7,8 +7,8 @@ ends there. A state is the set of hypotheses that are alive together; it is buil
 what all of its hypotheses agree on is its output, so tokens come out after the lookahead that the longest token
 bounds, and states do not grow with the text. The end of a piece puts out the hypothesis that ends there.
 
-Decoding is streamed over ids: the machine's state is the unfinished UTF-8 sequence, at most three bytes; for a state
-and an id the next state and the finished text are looked up, and computed when first needed.
+Decoding is streamed over ids: the machine's state is the unfinished UTF-8 sequence, at most three bytes; each feed
+of ids gives the whole characters and leaves the next state.
 
 Defined results: a null or empty text has no tokens and decodes to no bytes; null ids, repeated rows and extra
 columns pass through; an empty table gives an empty table; ids that are not UTF-8 decode to the same bytes.
@@ -18,17 +18,22 @@ from __future__ import annotations
 
 import base64
 import functools
+import gc
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import table
+from .tokens import Memory, slices, spread
 
-#: States, and encoded pieces, that are kept before they are built anew.
-STATES, REMEMBER = 150_000, 600_000
+#: States, and pairs of tokens, that are kept before they are built anew; ids that are decoded at a time.
+STATES, PAIRS, FEED = 200_000, 500_000, 1 << 16
+#: The pattern whose cuts the memory of words knows; with any other one, each text goes through the pattern.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def load(path: str) -> dict[bytes, int]:
@@ -40,14 +45,30 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
-        self.begun = {t[:k] for t in ranks for k in range(1, len(t))}
-        self.compatible = functools.lru_cache(1_000_000)(self._compatible)
+        self.child: dict[int, int] = {}  # node << 8 | byte -> node of the tokens' trie
+        self.inner, self.token = [True], [-1]  # by node: whether tokens go on from it, and the token that ends at it
+        for t, i in ranks.items():
+            node = 0
+            for byte in t:
+                key = node << 8 | byte
+                self.inner[node] = True
+                node = self.child.get(key)
+                if node is None:
+                    node = self.child[key] = len(self.token)
+                    self.inner.append(False)
+                    self.token.append(-1)
+            self.token[node] = i
+        self.pairs: dict[int, bool] = {}
+        self.made_of: dict[int, tuple | None] = {}
+        self.proper: dict[int, bool] = {}
+        self.forget()
+
+    def forget(self) -> None:
         self.states: list[tuple] = []
         self.numbers: dict[tuple, int] = {}
-        self.next: list[dict[int, tuple[int, tuple[int, ...]]]] = []
+        self.next: dict[int, tuple[int, tuple[int, ...]]] = {}  # state << 8 | byte
         self.last: list[tuple[int, ...]] = []
-        self.made_of: dict[int, tuple | None] = {}
-        self.start = self.state((None, (((), b""),)))
+        self.start = self.state((None, (((), 0),)))
 
     def merged(self, raw: bytes) -> list[int]:
         """The merges themselves, lowest rank first; for pairs of tokens only."""
@@ -77,7 +98,19 @@ class Transducer:
 
     def is_proper(self, i: int) -> bool:
         """Whether the merges of the token's bytes give the token."""
-        return self.halves(i) != ()
+        found = self.proper.get(i)
+        if found is None:
+            found = self.proper[i] = self.halves(i) != ()
+        return found
+
+    def compatible(self, a: int, b: int) -> bool:
+        key = a << 32 | b
+        found = self.pairs.get(key)
+        if found is None:
+            if len(self.pairs) >= PAIRS:
+                self.pairs = {}
+            found = self.pairs[key] = self._compatible(a, b)
+        return found
 
     def _compatible(self, a: int, b: int) -> bool:
         """Whether no merge reaches over the border of a and b: undo the later merge of the two sides, step by step, and see whether what then meets would have merged before it."""
@@ -96,26 +129,29 @@ class Transducer:
                 limit, b = b + 1, right[0]
 
     def state(self, key: tuple) -> int:
-        if key not in self.numbers:
-            self.numbers[key] = len(self.states)
+        number = self.numbers.get(key)
+        if number is None:
+            number = self.numbers[key] = len(self.states)
             self.states.append(key)
-            self.next.append({})
-            self.last.append(next((t for t, part in key[1] if not part), ()))
-        return self.numbers[key]
+            self.last.append(next((t for t, node in key[1] if not node), ()))
+        return number
 
     def step(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The transition (next state, output) of a state; computed once."""
         before, alive = self.states[number]
-        found = []
-        for tokens, part in alive:
-            part += bytes((byte,))
-            if part in self.begun:
-                found.append((tokens, part))
-            i = self.ranks.get(part)
-            if i is not None and self.is_proper(i):
+        found, ended, child, inner, token = [], None, self.child, self.inner, self.token
+        for tokens, node in alive:
+            node = child.get(node << 8 | byte)
+            if node is None:
+                continue
+            if inner[node]:
+                found.append((tokens, node))
+            i = token[node]
+            if i >= 0 and ended is None and self.is_proper(i):  # a prefix has one encoding, so one hypothesis ends here
                 left = tokens[-1] if tokens else before
                 if left is None or self.compatible(left, i):
-                    found.append(((*tokens, i), b""))
+                    ended = (*tokens, i)
+        found.append((ended, 0))
         # What all hypotheses agree on goes out.
         out = found[0][0]
         for t, _ in found[1:]:
@@ -129,7 +165,7 @@ class Transducer:
         rest = tuple((t[n:], p) for t, p in found)
         # The token before matters only to a hypothesis that begins right after it.
         left = (out[-1] if out else before) if any(not t for t, _ in rest) else None
-        self.next[number][byte] = made = (self.state((left, rest)), out)
+        self.next[number << 8 | byte] = made = (self.state((left, rest)), out)
         return made
 
     def encode(self, piece: bytes) -> list[int]:
@@ -137,11 +173,10 @@ class Transducer:
         if whole is not None:
             return [whole]
         if len(self.states) > STATES:
-            self.states, self.numbers, self.next, self.last = [], {}, [], []
-            self.start = self.state((None, (((), b""),)))
-        at, out, table = self.start, [], self.next
+            self.forget()
+        at, out, moves = self.start, [], self.next
         for byte in piece:
-            move = table[at].get(byte) or self.step(at, byte)
+            move = moves.get(at << 8 | byte) or self.step(at, byte)
             at = move[0]
             if move[1]:
                 out += move[1]
@@ -152,14 +187,16 @@ class Transducer:
 class Decoder:
     """A state machine over ids: its state is the unfinished UTF-8 sequence; feed() gives the bytes of whole characters.
 
-    Bytes that no character can hold are finished at once, as they are.
+    The bytes of the tokens between two feeds' ends are put together by array operations; only the last of them decide
+    the next state. Bytes that no character can hold are finished at once, as they are.
     """
 
     def __init__(self, tokens: dict[int, bytes]):
-        self.tokens = tokens
-        self.moves: dict[bytes, dict[int, tuple[bytes, dict]]] = {b"": {}}
-        self.pending: dict[int, bytes] = {id(self.moves[b""]): b""}
-        self.at = self.moves[b""]
+        self.bytes = np.frombuffer(b"".join(tokens.values()), np.uint8)
+        self.sizes, self.starts = np.zeros(max(tokens) + 1, np.int64), np.zeros(max(tokens) + 1, np.int64)
+        sizes = np.fromiter(map(len, tokens.values()), np.int64, len(tokens))
+        self.sizes[list(tokens)], self.starts[list(tokens)] = sizes, np.cumsum(sizes) - sizes
+        self.pending = b""
 
     @staticmethod
     def unfinished(raw: bytes) -> int:
@@ -173,52 +210,76 @@ class Decoder:
                 return 0
         return 0
 
-    def move(self, i: int) -> tuple[bytes, dict]:
-        raw = self.pending[id(self.at)] + self.tokens[i]
-        k = self.unfinished(raw)
-        rest = raw[len(raw) - k :]
-        if rest not in self.moves:
-            self.moves[rest] = {}
-            self.pending[id(self.moves[rest])] = rest
-        self.at[i] = made = (raw[: len(raw) - k], self.moves[rest])
-        return made
-
     def feed(self, ids) -> bytes:
-        out = []
-        for i in ids:
-            done, self.at = self.at.get(i) or self.move(i)
-            out.append(done)
-        return b"".join(out)
+        ids = np.asarray(ids, np.int64)
+        raw = self.pending + self.bytes[spread(self.starts[ids], self.sizes[ids])].tobytes()
+        done = len(raw) - self.unfinished(raw[-3:])
+        self.pending = raw[done:]
+        return raw[:done]
 
     def finish(self) -> bytes:
         """What is left when the ids end; the machine is then as new."""
-        rest, self.at = self.pending[id(self.at)], self.moves[b""]
+        rest, self.pending = self.pending, b""
         return rest
 
 
-class Codec:
-    """Whole texts to ids and back; pieces are remembered."""
+class Merges:
+    """The transducer as the engine of a memory of words."""
 
-    def __init__(self, path: str, pattern: str):
+    spaced, mark = True, " "
+
+    def __init__(self, transducer: Transducer, pattern: str):
         import regex
 
+        self.encode, self.pieces = transducer.encode, regex.compile(pattern).findall
+
+    def together(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        gc.disable()  # states are tuples without cycles, and many; to search them for cycles takes as long as to make them
+        try:
+            got = [self.encode(p.encode()) for p in parts]
+        finally:
+            gc.enable()
+        n = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), "<u4", int(n.sum())), n
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        """By the pattern; what a batch repeats is encoded once."""
+        cut = [self.pieces(t) for t in texts]
+        ids = {p: self.encode(p.encode()) for p in set().union(*cut)}
+        return [np.fromiter(chain.from_iterable(map(ids.__getitem__, c)), "<u4") for c in cut]
+
+
+class Codec:
+    """Whole texts to ids and back; words are remembered where the pattern is the one whose cuts the memory knows."""
+
+    def __init__(self, path: str, pattern: str):
         ranks = load(path)
         self.transducer, self.decoder = Transducer(ranks), Decoder({i: t for t, i in ranks.items()})
-        self.pieces = regex.compile(pattern).findall
-        self.names = [str(i) for i in range(max(ranks.values()) + 1)]
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.engine = Merges(self.transducer, pattern)
+        self.memory = Memory(self.engine) if pattern == WORDS else None
+        # The decimal numbers of ids, with a space after each, as rows of bytes that are zero after the space.
+        n = max(ranks.values()) + 1
+        self.decimals = np.array([f"{i} " for i in range(n)], f"S{len(str(n)) + 1}").view(np.uint8).reshape(n, -1)
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, their offsets)."""
+        if self.memory is not None:
+            return self.memory.encode(texts)
+        got = self.engine.whole(texts.to_pylist())
+        return np.concatenate([np.zeros(0, "<u4"), *got]), np.append(0, np.cumsum([len(x) for x in got], dtype=np.int64))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.pieces(t) for t in texts]
-        if len(self.known) > REMEMBER:
-            self.known, self.before = {}, self.known
-        for p in set().union(*cut).difference(self.known):
-            self.known[p] = self.before.get(p) or np.asarray(self.transducer.encode(p.encode()), "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, c)), "<u4") for c in cut]
+        ids, offsets = self.encode_all(pa.array(texts, pa.large_string()))
+        return [ids[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+
+    def decimal(self, ids: np.ndarray) -> bytes:
+        """The decimal ids, joined by one space."""
+        rows = self.decimals[ids]
+        return rows[rows > 0].tobytes()[:-1]
 
     def decode(self, ids) -> bytes:
-        return self.decoder.feed(ids) + self.decoder.finish()
+        done = [self.decoder.feed(ids[a : a + FEED]) for a in range(0, len(ids), FEED)]
+        return b"".join([*done, self.decoder.finish()])
 
 
 @functools.cache
@@ -227,10 +288,6 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-#: Characters that are encoded at a time.
-CHUNK = 500_000
-
-
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Adds n_tokens, ids_sha256 (of the decimal ids, joined by spaces), decoded_sha256 (of the bytes decoded from the ids), and ids if asked for; columns of df with these names are replaced."""
     added = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
@@ -240,23 +297,15 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            texts = [x or "" for x in batch.column(kept.index(text_col)).to_pylist()]
-            start = held = 0
-            for i, t in enumerate(texts):
-                held += len(t)
-                if held < CHUNK and i < len(texts) - 1:
-                    continue
-                n, first, second, all_ids = [], [], [], []
-                for ids in c.encode(texts[start : i + 1]):
-                    listed = ids.tolist()
-                    n.append(len(listed))
-                    first.append(hashlib.sha256(" ".join(map(c.names.__getitem__, listed)).encode()).hexdigest())
-                    second.append(hashlib.sha256(c.decode(listed)).hexdigest())
-                    if keep_ids:
-                        all_ids.append(listed)
-                columns = [pa.array(n, pa.int64()), pa.array(first), pa.array(second)] + [pa.array(all_ids, pa.list_(pa.int32()))] * keep_ids
-                yield pa.RecordBatch.from_arrays([*batch.slice(start, i + 1 - start).columns, *columns], names=kept + added)
-                start, held = i + 1, 0
+            for part, texts in slices(batch, text_col):
+                ids, offsets = c.encode_all(texts)
+                each = list(zip(offsets[:-1].tolist(), offsets[1:].tolist()))
+                first = [hashlib.sha256(c.decimal(ids[a:b])).hexdigest() for a, b in each]
+                second = [hashlib.sha256(c.decode(ids[a:b])).hexdigest() for a, b in each]
+                columns = [pa.array(np.diff(offsets)), pa.array(first, pa.string()), pa.array(second, pa.string())]
+                if keep_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=kept + added)
 
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] + ["ids array<int>"] * keep_ids
     return df.mapInArrow(run, ", ".join(types))
