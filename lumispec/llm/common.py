@@ -32,7 +32,17 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumispec/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._scratch = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what stored() wrote, once nothing that is still to run reads it."""
+    for df in tables:
+        session = df.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, body) -> Column:
