@@ -6,11 +6,14 @@ lineitem is a peak table, part a list of peak positions and a look-up table, the
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import natural_key
-from .operators import analysis, model, peaks, spectra
+from .operators import analysis, datasets, model, peaks, spectra
+from .sources import tables
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -315,9 +318,9 @@ def lorentz_area_intensity(spark, sf):
     return bounded(spark, sf).select("sample_id", "pos", r6(F.col("area"), "area"))
 
 
-@query(G + MAXIMA + ", few as (select * from pk where sample_id < 60), nr as (select b.sample_id, a.sample_id as other, a.pos as pa, min(abs(a.pos - b.pos)) as d from few a join few b on a.sample_id <> b.sample_id group by 1, 2, 3) select sample_id, sum(d)::double as distance from nr group by 1")
+@query(G + MAXIMA + ", nr as (select b.sample_id, a.sample_id as other, a.pos as pa, min(abs(a.pos - b.pos)) as d from pk a join pk b on a.sample_id <> b.sample_id group by 1, 2, 3) select sample_id, sum(d)::double as distance from nr group by 1")
 def find_reference(spark, sf):
-    return peaks.reference_sample(found(spark, sf).where("sample_id < 60"))
+    return peaks.reference_sample(found(spark, sf))
 
 
 def listed(spark, sf):
@@ -434,9 +437,141 @@ def complete_subjects(spark, sf):
     return spectra.complete(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey", 10)
 
 
-@query("select l_partkey % 40 as feature from lineitem where l_quantity > 49 group by 1 having count(distinct l_linenumber) = 7")
+@query("select l_partkey % 40 as feature from lineitem group by 1 having count(distinct l_linenumber) = 7")
 def feature_intersection(spark, sf):
-    return model.in_all(table(spark, sf, "lineitem").where("l_quantity > 49").select((F.col("l_partkey") % 40).alias("feature"), F.col("l_linenumber").alias("fold")), "feature", "fold", 7)
+    return model.in_all(table(spark, sf, "lineitem").select((F.col("l_partkey") % 40).alias("feature"), F.col("l_linenumber").alias("fold")), "feature", "fold", 7)
+
+
+# Whole sets: checks, accessors, unions, exports that are read back.
+
+
+@query(G + " select g.sample_id, idx, intensity from g join (select vec_id as sample_id, row_number() over (order by vec_id desc) - 1 as k from embeddings) o using (sample_id) where k in (0, 2, 3, 5, 8, 13, 21, 34, 55, 89)")
+def positional_subset(spark, sf):
+    order = classes(spark, sf).select("sample_id", (-F.col("sample_id")).alias("back"))
+    return datasets.subset(grid(spark, sf), order, [0, 2, 3, 5, 8, 13, 21, 34, 55, 89], "back").select("sample_id", "idx", "intensity")
+
+
+@query("select region, lo, hi from (values ('water', 4.7::double, 5.0::double), ('edge', 0.1::double, 0.4::double)) r(region, lo, hi)")
+def excluded_regions(spark, sf):
+    return datasets.Excluding(grid(spark, sf)).exclude(WATER).exclude({"edge": (0.4, 0.1)}).excluded()
+
+
+@query("with b as (select l_suppkey as sample_id, l_linenumber as idx, count(*) as n, count(distinct l_extendedprice) as p from lineitem group by 1, 2) select 'repeated point' as problem, sum(n - 1)::bigint as n from b having sum(n - 1) > 0 union all select 'position with several places', count(*) from (select l_linenumber from lineitem group by 1 having count(distinct l_extendedprice) > 1) having count(*) > 0 union all select 'position that samples lack', count(*) from (select l_linenumber from lineitem group by 1 having count(distinct l_suppkey) < (select count(distinct l_suppkey) from lineitem)) having count(*) > 0 union all select 'metadata without spectrum', count(*) from supplier where s_suppkey not in (select l_suppkey from lineitem) having count(*) > 0")
+def set_problems(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("sample_id"), F.col("l_linenumber").alias("idx"), F.col("l_extendedprice").alias("ppm"), F.lit(1.0).alias("intensity"))
+    return datasets.problems(rows, table(spark, sf, "supplier").select(F.col("s_suppkey").alias("sample_id")))
+
+
+@query(G + " select count(distinct sample_id) as samples, count(distinct idx) as points, min(ppm) as ppm_min, max(ppm) as ppm_max from g")
+def set_summary(spark, sf):
+    return datasets.summary(grid(spark, sf))
+
+
+@query(G + " select sample_id, idx, ppm, round(intensity * 2, 6) as intensity from g")
+def matrix_replaced(spark, sf):
+    g = grid(spark, sf)
+    out = datasets.with_matrix(g, g.select("sample_id", "idx", (F.col("intensity") * 2).alias("value")))
+    return out.select("sample_id", "idx", "ppm", r6(F.col("intensity"), "intensity"))
+
+
+@query("select s_suppkey as sample_id, s_name, n_name from supplier left join nation on s_nationkey = n_nationkey")
+def meta_groups_chosen(spark, sf):
+    s, n = table(spark, sf, "supplier"), table(spark, sf, "nation")
+    groups = {"own": s.select(F.col("s_suppkey").alias("sample_id"), "s_name"), "money": s.select(F.col("s_suppkey").alias("sample_id"), "s_acctbal"), "place": s.join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left").select(F.col("s_suppkey").alias("sample_id"), "n_name")}
+    return datasets.meta_get(groups, names=["own", "place"])
+
+
+@query("select doc_id as sample_id, lang, source, quality, toxic, item from documents left join labels using (doc_id) left join (select item_id as doc_id, text as item from benchmark) using (doc_id)")
+def meta_by_sheets(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"), "lang", "source")
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("sample_id"), "quality", "toxic", F.col("doc_id").alias("_row"))
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("sample_id"), F.col("text").alias("item"), F.col("item_id").alias("_row"))
+    return datasets.meta_add_sheets(d, [labels, labels.limit(0), items])
+
+
+@query("select distinct o_custkey % 400 as k from orders except select distinct c_custkey % 350 from customer")
+def set_difference(spark, sf):
+    return datasets.without(table(spark, sf, "orders").select((F.col("o_custkey") % 400).alias("k")), table(spark, sf, "customer").select((F.col("c_custkey") % 350).alias("k")), "k")
+
+
+@query("select 'part' as origin, p_partkey as id, p_name as name, null::double as balance from part union all select 'supplier', s_suppkey, s_name, s_acctbal from supplier")
+def union_named(spark, sf):
+    return datasets.union({"part": table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "supplier": table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))}).select("origin", "id", "name", "balance")
+
+
+@query("select s_suppkey as sample_id, s_name, round(sum(l_extendedprice), 2) as area from supplier left join lineitem on l_suppkey = s_suppkey group by 1, 2")
+def table_with_metadata(spark, sf):
+    areas = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("sample_id")).agg(F.round(F.sum("l_extendedprice"), 2).alias("area"))
+    return tables.with_metadata(areas, table(spark, sf, "supplier").select(F.col("s_suppkey").alias("sample_id"), "s_name"))
+
+
+@query("select p_brand as cluster, max(p_retailprice) - min(p_retailprice) as range from part group by 1")
+def cluster_ranges(spark, sf):
+    return peaks.cluster_ranges(table(spark, sf, "part").select(F.col("p_brand").alias("cluster"), F.col("p_retailprice").alias("ppm")))
+
+
+@query("select max(r) as range from (select max(p_retailprice) - min(p_retailprice) as r from part group by p_brand)")
+def cluster_widest(spark, sf):
+    return peaks.widest_cluster(table(spark, sf, "part").select(F.col("p_brand").alias("cluster"), F.col("p_retailprice").alias("ppm")))
+
+
+@query(G + MAXIMA + " select max(n)::bigint as least, sum(n)::bigint as most from (select count(*) as n from pk group by sample_id)")
+def cluster_number_bounds(spark, sf):
+    return peaks.cluster_bounds(found(spark, sf))
+
+
+@query("select p_brand as sample_id, string_agg(cast(p_partkey as varchar), ',' order by cast(p_partkey as varchar)) as peak_ids from part group by 1")
+def peak_ids_of_samples(spark, sf):
+    return peaks.ids_of_samples(listed(spark, sf)).select("sample_id", F.array_join("peak_ids", ",").alias("peak_ids"))
+
+
+@query("select p_brand as sample_id, p_size::double as ppm_ref, string_agg(cast(p_partkey as varchar), ',' order by cast(p_partkey as varchar)) as peak_ids from part group by 1, 2 having count(*) > 1")
+def ambiguous_cells(spark, sf):
+    cells = peaks.ambiguous_cells(listed(spark, sf).withColumn("ppm_ref", F.col("area")))
+    return cells.select("sample_id", "ppm_ref", F.array_join("peak_ids", ",").alias("peak_ids"))
+
+
+@query(GAPS + " select a.peak_id as a, b.peak_id as b, round(case when a.sample_id = b.sample_id then 3 * 0.25 else abs(a.ppm - b.ppm) end, 6) as distance from p a join p b on a.peak_id < b.peak_id and abs(a.ppm - b.ppm) < 0.25::double")
+def peak_distances(spark, sf):
+    return peaks.distances(listed(spark, sf), 0.25).select("a", "b", r6(F.col("distance"), "distance"))
+
+
+@query(AUCS + ", b as (select fold, arg_max(ncomp, auc) as ncomp from a group by 1) select round_even(median(ncomp), 0)::int as ncomp from b")
+def median_ncomp(spark, sf):
+    return model.best_ncomp(aucs(spark, sf).groupBy("fold").agg(F.max_by("ncomp", "auc").alias("ncomp")))
+
+
+@query("""with q as (select distinct p_size::double * 30 + 900 as ppm from part), m as (select ppm, p_partkey, p_retailprice, row_number() over (partition by ppm order by p_partkey) as nth
+  from q join part on p_retailprice > ppm - 3 and p_retailprice < ppm + 3), n as (select ppm, k from q, (values (1), (2)) v(k)),
+o as (select n.ppm, n.k, p_partkey, p_retailprice from n left join m on m.ppm = n.ppm and m.nth = n.k)
+select row_number() over (order by ppm, p_retailprice desc nulls last, p_partkey) as place, ppm, p_partkey as ordinal from o""")
+def identify_sorted(spark, sf):
+    p = table(spark, sf, "part")
+    rows = peaks.identify(p.select((F.col("p_size").cast("double") * 30 + 900).alias("ppm")), p.select(F.col("p_partkey").alias("ordinal"), F.col("p_retailprice").alias("shift")), 2, 3.0, [F.desc_nulls_last("shift"), F.col("ordinal")])
+    return rows.withColumn("_k", F.monotonically_increasing_id()).select(F.row_number().over(Window.orderBy("_k")).cast("long").alias("place"), "ppm", "ordinal")
+
+
+def kept(spark, df: DataFrame, name: str) -> str:
+    """df in the shared folder, wide or long; its path."""
+    path = f"{tables.scratch(spark)}/lumispec/{name}-{uuid.uuid4().hex}"
+    df.write.option("header", True).csv(path)
+    return path
+
+
+@query(G + " select sample_id, idx, round(ppm, 6) as ppm, round(intensity, 6) as intensity from g")
+def wide_csv_round_trip(spark, sf):
+    g = grid(spark, sf)
+    axis = [r["ppm"] for r in g.select("ppm").distinct().orderBy("ppm").collect()]  # the axis
+    path = kept(spark, tables.wide(g, axis), "wide")
+    back = tables.from_wide(spark.read.option("header", True).csv(path))
+    return back.select(F.col("sample_id").cast("long").alias("sample_id"), "idx", r6(F.col("ppm"), "ppm"), r6(F.col("intensity"), "intensity"))
+
+
+@query(G + " select sample_id, idx, ppm, round(intensity, 6) as intensity from g")
+def save_and_load(spark, sf):
+    path = f"{tables.scratch(spark)}/lumispec/set-{uuid.uuid4().hex}"
+    tables.save({"spectra": grid(spark, sf)}, path)
+    return tables.load(spark, path, "spectra")["spectra"].select("sample_id", "idx", "ppm", r6(F.col("intensity"), "intensity"))
 
 
 # Numeric kernels: no SQL form; the tests hold them against exact cases.

@@ -17,6 +17,8 @@ from ..functions import average_rank
 from . import kernels
 from .spectra import SAMPLE
 
+#: Slices of a range of values that are sorted each by itself.
+SLICES = 4096
 #: Samples times positions that one model may take.
 MATRIX = 50_000_000
 
@@ -26,9 +28,14 @@ MATRIX = 50_000_000
 
 def gap_threshold(values: DataFrame, x: str = "x", most: float = 0.1) -> DataFrame:
     """One row, threshold: the middle of the widest gap of the sorted values; infinite if more than a share of most lies over it."""
-    w = Window.orderBy(x)
-    gaps = values.select(x, (F.lead(x).over(w) - F.col(x)).alias("_g"))
-    t = gaps.agg(F.max_by(F.col(x) + F.col("_g") / 2, "_g").alias("_t"))
+    ends = values.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    share = F.try_divide(F.col(x) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    placed = values.select(x).where(F.col(x).isNotNull()).distinct().crossJoin(F.broadcast(ends)).withColumn("_b", F.floor(F.coalesce(share, F.lit(0.0)) * SLICES))
+    within = placed.select(x, (F.lead(x).over(Window.partitionBy("_b").orderBy(x)) - F.col(x)).alias("_g"))
+    slices = placed.groupBy("_b").agg(F.min(x).alias("_least"), F.max(x).alias(x))  # SLICES rows at most
+    between = slices.select(x, (F.lead("_least").over(Window.orderBy("_b")) - F.col(x)).alias("_g"))
+    gaps = within.unionByName(between)
+    t = gaps.agg(F.coalesce(F.max_by(F.col(x) + F.col("_g") / 2, "_g"), F.max(x)).alias("_t"))
     over = values.crossJoin(F.broadcast(t)).agg(F.first("_t").alias("_t"), F.avg((F.col(x) > F.col("_t")).cast("double")).alias("_o"))
     return over.select(F.when(F.col("_o") > most, F.lit(float("inf"))).otherwise(F.col("_t")).alias("threshold"))
 
@@ -44,6 +51,8 @@ def subsample(groups: DataFrame, iterations: int, test_size: float, seed: int =
 
     With balance, a column with one value a group, every class gives the same number of groups to train.
     """
+    if not 0 < test_size < 1:
+        raise ValueError("the test set takes a share between 0 and 1")
     keys = ["group"] + [balance] * bool(balance)
     each = groups.select(*keys).distinct().withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
     order = F.md5(F.concat_ws("_", F.col("group").cast("string"), F.col("iteration").cast("string"), F.lit(str(seed))))
@@ -57,6 +66,17 @@ def subsample(groups: DataFrame, iterations: int, test_size: float, seed: int =
     return each.crossJoin(F.broadcast(size)).select("iteration", "group", F.when(r <= train, "train").otherwise("test").alias("role"))
 
 
+def checked_splits(splits: DataFrame, *keys: str) -> DataFrame:
+    """splits, or a ValueError if a split has an empty side or a group on both; keys: the columns that name a split."""
+    sides = splits.groupBy(*keys).agg(F.count_if(F.col("role") == "train").alias("train"), F.count_if(F.col("role") == "test").alias("test"))
+    both = splits.groupBy(*keys, "group").agg(F.countDistinct("role").alias("roles")).where("roles > 1")
+    if not sides.where("train = 0 or test = 0").isEmpty():
+        raise ValueError("a split has an empty side")
+    if not both.isEmpty():
+        raise ValueError("a group stands on both sides of a split")
+    return splits
+
+
 def double_splits(groups: DataFrame, outer: int, inner: int, outer_size: float, inner_size: float, seed: int = 0) -> DataFrame:
     """(outer, inner, group, role): inner is null for the outer splits; the inner ones deal out each outer training set."""
     first = subsample(groups, outer, outer_size, seed).withColumnRenamed("iteration", "outer")

@@ -103,19 +103,106 @@ def distances(peaks: DataFrame, within: float, factor: float = 3.0) -> DataFrame
 
 
 def reference_sample(peaks: DataFrame) -> DataFrame:
-    """(sample_id, distance), nearest first: over all other samples, how far each peak of theirs is from its nearest of this one."""
-    a = peaks.select(F.col(SAMPLE).alias("a"), F.col("pos").alias("pa"))
-    lists = peaks.groupBy(SAMPLE).agg(F.collect_set("pos").alias("ps"))
-    pairs = a.join(lists, F.col("a") != F.col(SAMPLE))
-    near = F.array_min(F.transform("ps", lambda p: F.abs(p - F.col("pa"))))
-    return pairs.groupBy(SAMPLE).agg(F.sum(near).cast("double").alias("distance"))
+    """(sample_id, distance), nearest first: over all other samples, how far each peak of theirs is from its nearest of this one.
+
+    Peaks of all samples are counted by position, so nothing is paired: between two neighbouring peaks of a sample,
+    and beyond its first and last, the distances are differences of the counts' running sums, looked up at the two
+    peaks and halfway. The running sums have a row for each point of the axis.
+    """
+    ends = peaks.agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    axis = ends.select(F.explode(F.sequence("lo", "hi")).alias("at")).join(peaks.groupBy(F.col("pos").alias("at")).agg(F.count("*").alias("n")), "at", "left")
+    w = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    n = F.coalesce("n", F.lit(0))
+    sums = axis.select("at", F.sum(n).over(w).alias("c"), F.sum(n * F.col("at")).over(w).alias("s"))
+
+    def known(name: str) -> DataFrame:
+        return sums.select(F.col("at").alias(name), F.col("c").alias(f"c_{name}"), F.col("s").alias(f"s_{name}"))
+
+    each = Window.partitionBy(SAMPLE).orderBy("a")
+    spans = peaks.select(SAMPLE, F.col("pos").alias("a")).distinct().withColumns({"b": F.lead("a").over(each), "first": F.lag("a").over(each).isNull()}).withColumn("m", F.floor((F.col("a") + F.col("b")) / 2).cast("int"))
+    spans = spans.join(known("a"), "a").join(known("b"), "b", "left").join(known("m"), "m", "left")
+    last = sums.agg(F.max("c").alias("c_all"), F.max_by("s", "at").alias("s_all"))
+    spans = spans.crossJoin(F.broadcast(last))
+    c = F.col
+    to_left = (c("s_m") - c("s_a")) - c("a") * (c("c_m") - c("c_a"))
+    to_right = c("b") * (c("c_b") - c("c_m")) - (c("s_b") - c("s_m"))
+    after = (c("s_all") - c("s_a")) - c("a") * (c("c_all") - c("c_a"))
+    before = F.when(c("first"), c("a") * c("c_a") - c("s_a")).otherwise(0)
+    return spans.groupBy(SAMPLE).agg(F.sum(before + F.when(c("b").isNull(), after).otherwise(to_left + to_right)).cast("double").alias("distance"))
+
+
+#: A bucket of the axis has so many gaps' width.
+BUCKET = 64
 
 
 def gap_components(peaks: DataFrame, gap: float, *keys: str) -> DataFrame:
-    """Adds component: a run of sorted positions without a gap of gap or more. Each key is a run of its own."""
-    w = Window.partitionBy(*keys).orderBy("ppm", "peak_id")
-    new = F.when(F.col("ppm") - F.lag("ppm").over(w) >= gap, 1).otherwise(0)
-    return peaks.withColumn("_new", new).withColumn("component", F.sum("_new").over(w)).drop("_new")
+    """Adds component: a run of sorted positions without a gap of gap or more. Each key is a run of its own.
+
+    Runs are counted over distinct positions, in buckets of the axis and then over the buckets, so that no task sees
+    more than a bucket's positions or a row a bucket. A null position is before all others.
+    """
+    places = peaks.select(*keys, "ppm").distinct().withColumn("_b", F.floor(F.col("ppm") / (BUCKET * gap)))
+    w = Window.partitionBy(*keys, "_b").orderBy("ppm")
+    far = lambda lo, hi: F.when(lo - hi >= gap, 1).otherwise(0)
+    runs = places.withColumn("_new", far(F.col("ppm"), F.lag("ppm").over(w))).withColumn("_run", F.sum("_new").over(w))
+    over = Window.partitionBy(*keys).orderBy("_b")
+    buckets = runs.groupBy(*keys, "_b").agg(F.min("ppm").alias("_lo"), F.max("ppm").alias("_hi"), F.max("_run").alias("_n"))
+    buckets = buckets.withColumn("_step", far(F.col("_lo"), F.lag("_hi").over(over)) + F.coalesce(F.lag("_n").over(over), F.lit(0)))
+    buckets = buckets.withColumn("_base", F.sum("_step").over(over)).select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_b").alias("_bucket"), "_base")
+    same = F.col("_b").eqNullSafe(F.col("_bucket"))
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    found = runs.join(buckets, same).select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("ppm").alias("_ppm"), (F.col("_base") + F.col("_run")).alias("component"))
+    at = F.col("ppm").eqNullSafe(F.col("_ppm"))
+    for i, k in enumerate(keys):
+        at &= F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return peaks.join(found, at).drop("_ppm", *[f"_key{i}" for i in range(len(keys))])
+
+
+def cluster_ranges(clustered: DataFrame) -> DataFrame:
+    """(cluster, range): how far a cluster's peaks are apart."""
+    return clustered.groupBy("cluster").agg((F.max("ppm") - F.min("ppm")).alias("range"))
+
+
+def widest_cluster(clustered: DataFrame) -> DataFrame:
+    """One row, range: of the cluster whose peaks are farthest apart."""
+    return cluster_ranges(clustered).agg(F.max("range").alias("range"))
+
+
+def cluster_bounds(peaks: DataFrame) -> DataFrame:
+    """One row, (least, most): no fewer clusters than the peaks of one sample, no more than peaks."""
+    return peaks.groupBy(SAMPLE).agg(F.count("*").alias("_n")).agg(F.max("_n").alias("least"), F.sum("_n").alias("most"))
+
+
+def linkage_table(peaks: DataFrame, cuts_ppb: list[float]) -> DataFrame:
+    """(max_ppb, clusters, range): the number of clusters and the widest one for each cut, narrowest first."""
+    out = None
+    for cut in sorted(cuts_ppb):
+        found = linkage(peaks, cut)
+        one = found.agg(F.lit(float(cut)).alias("max_ppb"), F.countDistinct("cluster").alias("clusters")).crossJoin(widest_cluster(found))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def linkage_to(peaks: DataFrame, num_clusters: int, cuts_ppb: list[float]) -> DataFrame:
+    """linkage() at the cut, of those given, that has the number of clusters asked for or comes nearest, the wider one of equals."""
+    bounds = cluster_bounds(peaks).first()
+    if not bounds["least"] <= num_clusters <= bounds["most"]:
+        raise ValueError(f"between {bounds['least']} and {bounds['most']} clusters are possible")
+    table = linkage_table(peaks, cuts_ppb).collect()  # a row a cut
+    best = min(table, key=lambda r: (abs(r["clusters"] - num_clusters), -r["max_ppb"]))
+    return linkage(peaks, best["max_ppb"])
+
+
+def ids_of_samples(peaks: DataFrame) -> DataFrame:
+    """(sample_id, peak_ids): sorted."""
+    return peaks.groupBy(SAMPLE).agg(F.sort_array(F.collect_list("peak_id")).alias("peak_ids"))
+
+
+def ambiguous_cells(peaks: DataFrame) -> DataFrame:
+    """(sample_id, ppm_ref, peak_ids) of the cells with several peaks."""
+    cells = peaks.groupBy(SAMPLE, "ppm_ref").agg(F.sort_array(F.collect_list("peak_id")).alias("peak_ids"))
+    return cells.where(F.size("peak_ids") > 1)
 
 
 def digits(threshold_ppb: float) -> int:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import MAD
 
 SAMPLE = "sample_id"
+#: Positions that a range without peaks needs.
+NOISE_POINTS = 10
 
 
 # Layouts and projections
@@ -167,14 +169,25 @@ def normalize(spectra: DataFrame, method: str = "area", **how) -> DataFrame:
 
 
 def threshold(spectra: DataFrame, ppm_range: tuple[float, float], method: str = "mean3sd") -> DataFrame:
-    """mean3sd: one row, threshold; median3mad: (sample_id, threshold). The range is [start, end)."""
+    """mean3sd: one row, threshold; median3mad: (sample_id, threshold). The range is [start, end).
+
+    mean3sd averages each position's mean and deviation over the samples; of a single sample it takes the mean and
+    deviation over the positions. A range with fewer than NOISE_POINTS positions is an error when read.
+    """
     part = spectra.where((F.col("ppm") >= ppm_range[0]) & (F.col("ppm") < ppm_range[1]))
+
+    def enough(n: Column, value: Column) -> Column:
+        return F.when(n >= NOISE_POINTS, value).otherwise(F.raise_error(F.lit(f"the range has fewer than {NOISE_POINTS} points")).cast("double"))
+
     if method == "mean3sd":
-        each = part.groupBy("idx").agg(F.avg("intensity").alias("m"), F.stddev_samp("intensity").alias("s"))
-        return each.agg((F.avg("m") + 3 * F.avg("s")).alias("threshold"))
+        each = part.groupBy("idx").agg(F.avg("intensity").alias("m"), F.stddev_samp("intensity").alias("s"), F.count("*").alias("n"))
+        spread = F.when(F.max("n") == 1, F.stddev_samp("m")).otherwise(F.avg("s"))
+        return each.agg(enough(F.count("*"), F.avg("m") + 3 * spread).alias("threshold"))
+    if method != "median3mad":
+        raise ValueError(f"no such method: {method}")
     part = part.withColumn("_y", corrected(spectra))
     middle = part.groupBy(SAMPLE).agg(F.median("_y").alias("m"))
-    return part.join(middle, SAMPLE).groupBy(SAMPLE).agg((F.first("m") + 3 * MAD * F.median(F.abs(F.col("_y") - F.col("m")))).alias("threshold"))
+    return part.join(middle, SAMPLE).groupBy(SAMPLE).agg(enough(F.count("*"), F.first("m") + 3 * MAD * F.median(F.abs(F.col("_y") - F.col("m")))).alias("threshold"))
 
 
 # Integration

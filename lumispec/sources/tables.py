@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,16 @@ from pyspark.sql import functions as F
 from ..operators.spectra import SAMPLE
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; on a local master the system's temporary one will do."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.gettempdir()
+    return found.rstrip("/")
+
+
 def save(parts: dict[str, DataFrame], path: str) -> None:
     """Each part (spectra, peaks, a metadata group) as a Parquet table under path."""
     for name, df in parts.items():
