@@ -240,9 +240,12 @@ def memory_of(path: str, spaced: bool, remember: int) -> Memory:
 
 
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Slices of the batch with their texts (null: empty): about CHUNK bytes each, or one text."""
+    """Slices of the batch with their texts, or binary values (null: empty): about CHUNK bytes each, or one text."""
     texts = batch.column(column)
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type):
+        texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    else:
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     start = 0
     while start < len(texts):
