@@ -58,6 +58,13 @@ def words(text: Column) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, f"[{SPACE}]+"))
 
 
+def packed(df: DataFrame, text_col: str, added: list[str]) -> tuple[DataFrame, list[Column]]:
+    """(_in, _text) of df, its columns apart from the operator's own, whatever their names, and what brings back those that added does not replace."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    out = df.select(row.alias("_in"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
+    return out, [F.col(f"_in.`{c}`").alias(c) for c in df.columns if c not in added]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -3,7 +3,8 @@
 Every template has mandatory key phrases. The corpus gives each of their words an inverse document frequency; the
 rarest words of a key phrase are looked up in a file first. A word found at i that stands at p in the template is a
 posting for a start at i - p; the postings of a template's rare words are intersected, so only places where they
-stand at the right relative positions are left, and there the whole key phrase is verified word by word.
+stand at the right relative positions are left, and there the whole key phrase, version included, is verified word by
+word. A notice is labelled only where enough of its other words agree, too.
 
 Only the words of templates are counted over the corpus, so what comes to the driver is bounded by the templates.
 
@@ -19,23 +20,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import packed, table
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Base phrases by label, then notices as (label, words, start of the key phrase, its length).
 BASE = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
 NOTICES = (
-    ("apache-2.0", "licensed under the apache license version 2 0", 3, 2),
+    ("apache-2.0", "licensed under the apache license version 2 0", 3, 5),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", 0, 8),
-    ("cc-by-nc", "licensed under cc by nc 4 0", 2, 3),
-    ("cc-by-sa", "licensed under cc by sa 4 0", 2, 3),
-    ("cc0", "cc0 1 0 universal public domain dedication", 0, 3),
-    ("gpl-notice", "this work is licensed under the gnu general public license version 3", 6, 4),
+    ("cc-by-nc", "licensed under cc by nc 4 0", 2, 5),
+    ("cc-by-sa", "licensed under cc by sa 4 0", 2, 5),
+    ("cc0", "cc0 1 0 universal public domain dedication", 0, 4),
+    ("gpl-notice", "this work is licensed under the gnu general public license version 3", 6, 6),
     ("isc", "permission to use copy modify and or distribute this software for any purpose", 0, 5),
-    ("mit", "released under the mit license", 3, 2),
+    ("mit", "released under the mit license", 1, 4),
     ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software", 0, 6),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", 11, 3),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", 11, 6),
 )
+#: A notice is labelled where at least this share of its words stand in their places, its key phrase among them.
+MIN_SHARE = 0.5
 #: So many rare words of a key phrase are intersected before it is verified.
 RARE = 3
 
@@ -79,11 +82,19 @@ def agreement(words: Column, at: Column, template: list[str]) -> Column:
     return F.transform(at, share)
 
 
+def alike(words: Column, at: Column, template: list[str]) -> Column:
+    """The starts where enough of the template's words agree."""
+    near = F.zip_with(at, agreement(words, at, template), lambda s, share: F.struct(s.alias("s"), share.alias("share")))
+    return F.transform(F.filter(near, lambda x: x["share"] >= MIN_SHARE), lambda x: x["s"])
+
+
 def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels, score; columns of df with these names are replaced."""
     found = templates()
     vocabulary = sorted({w for _, t, k, n in found for w in t[k : k + n]})
-    df = df.withColumn("_words", file_words(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    df, held = packed(df, text_col, added)
+    df = df.withColumn("_words", file_words(F.col("_text")))
     idf = inverse_frequencies(df, "_words", vocabulary)
     anchors = sorted({t[p] for _, t, k, n in found for p in sorted(range(k, k + n), key=lambda p: (-idf[t[p]], p))[:RARE]})
     w = F.col("_words")
@@ -92,7 +103,7 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     hits = F.col("_hits")
     names = []
     for label, t, k, n in found:
-        df = df.withColumn(name := f"_at_{len(names)}", F.when(hits.isNull(), F.array().cast("array<int>")).otherwise(starts(w, hits, t, k, n, idf)))
+        df = df.withColumn(name := f"_at_{len(names)}", F.when(hits.isNull(), F.array().cast("array<int>")).otherwise(starts(w, hits, t, k, n, idf) if label in BASE else alike(w, starts(w, hits, t, k, n, idf), t)))
         names.append(name)
     base = names[: len(BASE)]
     df = df.withColumn("_base", F.concat(*base))
@@ -107,7 +118,7 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
         "labels": F.concat_ws(",", *[F.when(F.size(a) > 0, F.lit(x)) for x, a in by_label]),
         "score": F.greatest(*share).cast("double"),
     })
-    return df.drop("_words", "_hits", "_base", *names)
+    return df.select(*held, *added)
 
 
 def op6_license_scans(spark, sf_dir):

@@ -14,7 +14,8 @@ Terms are counted by partial aggregation before any shuffle. The disclosing term
 through a shuffle; they are broadcast only if they are few enough, by a count.
 
 Defined results: a null or empty text has no spans; null ids, repeated rows and extra columns pass through (repeated
-rows count as documents of their own); an empty table gives an empty table; terms inside base spans are not terms.
+rows count as documents of their own); an empty table gives an empty table; terms inside base spans are not terms; texts of any
+length are read whole; entities at one place are in the order of their ends.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, stored, table, where_computed
+from .common import let, packed, stored, table, where_computed
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns start where a run of their first characters does, or where the last match ended, and never give back
@@ -35,14 +36,12 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-ANY = "|".join(f"(?:{PATTERNS[k]})" for k in ("email", "phone", "ip", "card"))
-#: Context terms on either side of an entity.
+#: Context terms on either side of an entity, as far as the next entity.
 WINDOW = 5
-REACH = 400
 #: A term is disclosing for what it reveals of an entity, from so many documents on.
 GENERALISE, REMOVE, SUPPORT = 0.75, 0.9, 3
-#: Broadcast at most so many disclosing terms; more are joined through a shuffle.
-BROADCAST_TERMS = 20_000
+#: Broadcast at most so many bytes of disclosing terms; more are joined through a shuffle.
+BROADCAST_BYTES = 4 << 20
 TERM = r"[^\p{L}\p{N}]+"
 
 
@@ -114,16 +113,29 @@ def terms(text: Column) -> Column:
 def contexts(df: DataFrame) -> DataFrame:
     """(entity, term, context): once a document, what stands within WINDOW terms of an entity, with the hash of all the document's contexts; a null term for the entity itself."""
     text = F.col("_text")
+    all_spans = F.array_sort(of_kinds(lambda k, x: F.struct(x["s"].alias("s"), x["e"].alias("e"), entity(k, x).alias("entity"))))
 
-    def near(s: Column, e: Column) -> Column:
-        # A term that REACH characters cannot hold is none in the sense of a context.
-        before = F.substr(text, F.greatest(s - REACH, F.lit(0)).cast("int") + 1, F.least(s, F.lit(REACH)).cast("int"))
-        after = F.substr(text, e.cast("int") + 1, F.lit(REACH))
-        hide = lambda c: F.regexp_replace(c, ANY, " ")
-        found = F.concat(F.slice(F.reverse(terms(hide(before))), 1, WINDOW), F.slice(terms(hide(after)), 1, WINDOW))
-        return F.concat(F.array(F.lit(None).cast("string")), F.filter(found, lambda t: F.regexp_like(t, F.lit(r"\p{L}"))))
+    def words(start: Column, end: Column) -> Column:
+        gap = F.substr(text, start.cast("int") + 1, F.greatest(end - start, F.lit(0)).cast("int"))
+        return F.filter(terms(gap), lambda t: F.regexp_like(t, F.lit(r"\p{L}")))
 
-    pairs = of_kinds(lambda k, x: F.transform(near(x["s"], x["e"]), lambda t: F.struct(entity(k, x).alias("entity"), t.alias("term"))))
+    def near(all_of: Column) -> Column:
+        # Each stretch between two entities is cut once, so the work grows with the text and not with its entities.
+        starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(all_of, lambda x: x["e"]))
+        ends = F.concat(F.transform(all_of, lambda x: x["s"]), F.array(F.length(text).cast("long")))
+        cut = F.zip_with(starts, ends, words)
+
+        def of(gaps: Column) -> Column:
+            def one(x: Column, i: Column) -> Column:
+                before, after = F.slice(F.reverse(F.get(gaps, i)), 1, WINDOW), F.slice(F.get(gaps, i + 1), 1, WINDOW)
+                found = F.concat(F.array(F.lit(None).cast("string")), before, after)
+                return F.transform(found, lambda t: F.struct(x["entity"].alias("entity"), t.alias("term")))
+
+            return F.transform(all_of, one)
+
+        return let(cut, of)
+
+    pairs = let(all_spans, near)
     hit = where_computed(df, " or ".join(f"size(_{k}) > 0" for k in KINDS)).select(F.array_distinct(F.flatten(pairs)).alias("p"))
     return hit.select(F.xxhash64("p").alias("context"), F.explode("p").alias("x")).select("x.entity", "x.term", "context")
 
@@ -159,23 +171,26 @@ def document_terms(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode(F.array_distinct(terms(F.col("_text")))).alias("term"))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df, stored, to be broadcast if it has at most BROADCAST_TERMS rows."""
+def small(df: DataFrame, size: Column) -> DataFrame:
+    """df, stored, to be broadcast if it has at most BROADCAST_BYTES; size: bytes of a row."""
     df = stored(df, "pii-terms")
-    return F.broadcast(df) if df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else df
+    return F.broadcast(df) if (df.agg(F.sum(size + 32)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def with_terms(df: DataFrame, found: DataFrame) -> DataFrame:
     """Adds _terms, (term, reveals) of each disclosing term that the text holds, else null."""
-    df = df.withColumn("_key", F.xxhash64("_text"))
-    hits = document_terms(df, "_key").join(small(found), "term").groupBy("_key").agg(F.collect_set(F.struct("term", "reveals")).alias("_terms"))
-    hits = small(hits.withColumnRenamed("_key", "_hit"))
+    df = df.withColumn("_key", F.md5("_text"))
+    hits = document_terms(df, "_key").join(small(found, F.octet_length("term")), "term").groupBy("_key").agg(F.collect_set(F.struct("term", "reveals")).alias("_terms"))
+    held = F.aggregate("_terms", F.lit(0), lambda n, t: n + F.octet_length(t["term"]) + 16)
+    hits = small(hits.withColumnRenamed("_key", "_hit"), held)
     return df.join(hits, F.col("_key") == F.col("_hit"), "left").drop("_hit", "_key")
 
 
 def sanitise(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds n_email, n_ip, n_card, n_phone, base_spans, term_spans (arrays of kind:start:end) and sanitised (the text with entities and terms replaced)."""
-    df = base_spans(df.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.col("_text"))
+    added = [*(f"n_{k}" for k in KINDS), "base_spans", "term_spans", "sanitised"]
+    df, kept = packed(df, text_col, added)
+    df = base_spans(df, F.col("_text"))
     found = disclosing(df)
     df = with_terms(df, found) if found is not None else df.withColumn("_terms", F.lit(None).cast("array<struct<term:string,reveals:double>>"))
     quoted = F.array_join(F.transform("_terms", lambda x: x["term"]), "|")
@@ -199,7 +214,7 @@ def sanitise(df: DataFrame, text_col: str = "text") -> DataFrame:
     edited = F.aggregate("_edits", start, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
     counts = {f"n_{k}": F.size(f"_{k}").cast("long") for k in KINDS}
     df = df.withColumns(counts | {"base_spans": F.concat(*[joined(k, F.col(f"_{k}")) for k in KINDS]), "term_spans": joined("term", F.col("_found")), "sanitised": F.when(F.size("_edits") == 0, text).otherwise(edited)})
-    return df.drop("_text", "_terms", "_base", "_found", "_edits", *[f"_{k}" for k in KINDS])
+    return df.select(*kept, *added)
 
 
 def op1_pii(spark, sf_dir):

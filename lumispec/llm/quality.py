@@ -5,6 +5,7 @@ too large a share of its text goes as a whole. Nothing is shuffled: a document i
 
 Defined results: a null or blank text has no words, fails the base rule and is not kept; null ids, repeated rows and
 extra columns pass through; an empty table gives an empty table. Three-word windows are compared by 64-bit hashes.
+Texts and lines of any length are judged whole.
 """
 
 from __future__ import annotations
@@ -12,11 +13,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, where_computed, words
-
-# Phrases of navigation and of boilerplate, lower case.
-NAVIGATION = ("home", "menu", "log in", "login", "sign in", "sign up", "register", "next page", "previous page", "back to top", "read more", "skip to content", "sitemap", "share this")
-BOILERPLATE = ("cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "use cookies", "subscribe to our newsletter", "lorem ipsum")
+from .common import SPACE, SPACE_CHARS, packed, where_computed, words
+
+# Phrases of navigation and of boilerplate, lower case, in English, German, French and Spanish.
+NAVIGATION = (
+    "home", "menu", "log in", "login", "sign in", "sign up", "register", "next page", "previous page", "back to top", "read more", "skip to content", "sitemap", "share this",
+    "startseite", "menü", "anmelden", "registrieren", "nächste seite", "vorherige seite", "nach oben", "weiterlesen", "zum inhalt springen",
+    "accueil", "connexion", "se connecter", "s'inscrire", "page suivante", "page précédente", "haut de page", "lire la suite", "aller au contenu",
+    "inicio", "menú", "iniciar sesión", "registrarse", "página siguiente", "página anterior", "volver arriba", "leer más", "ir al contenido",
+)
+BOILERPLATE = (
+    "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "use cookies", "subscribe to our newsletter", "lorem ipsum",
+    "datenschutzerklärung", "nutzungsbedingungen", "verwendet cookies", "newsletter abonnieren",
+    "politique de confidentialité", "conditions d'utilisation", "utilise des cookies", "abonnez-vous à notre newsletter",
+    "política de privacidad", "política de cookies", "términos de uso", "suscríbete a nuestro boletín",
+)
 #: Lines with more symbols than this share of their words, or as many words that shout, fail the punctuation rule.
 MAX_SYMBOLS, MAX_SHOUTS = 0.5, 0.5
 #: A line of navigation has at most so many words to a separator.
@@ -70,7 +81,8 @@ def judge(df: DataFrame, text_col: str = "text", only_kept: bool = False) -> Dat
 
     Columns of df with these names are replaced. To filter by kept, ask for only_kept, or see where_computed().
     """
-    df = df.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "cleaned", "n_lines_removed"]
+    df, held = packed(df, text_col, added)
     t = F.col("_text")
     df = df.withColumn("_words", words(t)).withColumn("_lines", F.split(t, "\n"))
     w, lines = F.col("_words"), F.col("_lines")
@@ -90,8 +102,8 @@ def judge(df: DataFrame, text_col: str = "text", only_kept: bool = False) -> Dat
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     df = df.withColumns({"base_failed": failed, "n_lines_removed": (F.size(lines) - F.size("_good")).cast("long"), "_kept_chars": kept_chars})
     df = df.withColumn("kept", ~F.col("base_failed") & (F.col("_kept_chars") >= MIN_KEPT * F.col("word_chars")))
-    df = df.drop("_text", "_words", "_lines", "_full", "_good", "_kept_chars")
-    return where_computed(df, "kept") if only_kept else df
+    df = where_computed(df, "kept") if only_kept else df
+    return df.select(*held, *added)
 
 
 def op8_quality_rules(spark, sf_dir):

@@ -118,8 +118,10 @@ def slow_license(text):
     for label, t, k, n in licenses.NOTICES:
         t = t.split()
         for i in at(t[k : k + n]):
-            labels.add(label)
-            score = max(score, sum(0 <= i - k + j < len(w) and w[i - k + j] == x for j, x in enumerate(t)) / len(t))
+            share = sum(0 <= i - k + j < len(w) and w[i - k + j] == x for j, x in enumerate(t)) / len(t)
+            if share >= 0.5:
+                labels.add(label)
+                score = max(score, share)
     return len(w), len(places), places[0] if places else None, places[-1] if places else None, ",".join(sorted(k for k, v in base.items() if v)), ",".join(sorted(labels)), round(score, 9)
 
 
@@ -166,3 +168,56 @@ def test_digest(spark):
     r = pii.op1_pii(spark, SF).where("n_email > 0").first()
     assert len(r.base_sha256) == 64 and r.spans.startswith("email:")
     assert hashlib.sha256(b"").hexdigest() == pii.op1_pii(spark, SF).where("n_email + n_ip + n_card + n_phone = 0").first().base_sha256
+
+
+def test_licence_versions_and_denials(spark):
+    rows = [(1, "This file is not under the Apache License, Version 1.1; the MIT License does not apply"), (2, "Licensed under the Apache License, Version 2.0"), (3, "x released under the MIT License."), (4, "This work is licensed under the GNU General Public License version 2"), (5, "it is licensed under CC BY-NC 4.0")]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "", 2: "apache-2.0", 3: "mit", 4: "gpl", 5: "cc-by,cc-by-nc"}
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["_text", "_words", "_row", "_in", "_lines", "_key", "_terms", "_hits", "_email", "_found", "_base", "_good", "a.b"]
+    df = spark.createDataFrame([(1, "some text " * 40, *names)], ["doc_id", "text", *names])
+    for out in (pii.sanitise(df), quality.judge(df), quality.judge(df, only_kept=True), licenses.scan(df)):
+        for r in out.collect():
+            assert [r[n] for n in names] == names and r.doc_id == 1
+
+
+def test_terms_of_any_length_disclose(spark):
+    """Nothing is cut on the way from an entity to the terms around it."""
+    long = "q" * 3000
+    rows = [(i, f"day{i} {long} ann@x.org week{i} " + "far " * 3000 + f"{long} end{i}") for i in range(4)] + [(50 + i, f"other words{i} far from saying anything") for i in range(60)]
+    out = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id < 4").collect()
+    for r in out:
+        assert long not in r.sanitised and len(r.term_spans) == 2
+
+
+def test_context_by_brute_force(spark):
+    """(entity, term) of each document, counted by hand, on texts with many entities, also next to each other."""
+    import random
+
+    rng = random.Random(6)
+    parts = ["alpha", "Beta", "g4mma", "é", "12", "ann@x.org", "bob@y.org", "10.0.0.1", ",", "zeta", "eta"]
+    texts = [" ".join(rng.choices(parts, k=rng.randrange(60))) for _ in range(60)] + ["", None]
+    df, _ = pii.packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "text", [])
+    got = Counter((r.entity, r.term) for r in pii.contexts(pii.base_spans(df, pii.F.col("_text"))).collect())
+    want = Counter()
+    for t in texts:
+        spans = sorted((m.start(), m.end(), k + ":" + m[0]) for k, p in (("email", r"\w+@[xy]\.org"), ("ip", r"10\.0\.0\.1")) for m in re.finditer(p, t or ""))
+        seen = set()
+        for j, (s, e, name) in enumerate(spans):
+            word = lambda x: [w for w in re.split(r"[^\w]+", x.lower()) if re.search("[^\\W\\d]", w)]
+            before = word(t[spans[j - 1][1] if j else 0 : s])[-5:]
+            after = word(t[e : spans[j + 1][0] if j + 1 < len(spans) else len(t)])[:5]
+            seen |= {(name, None)} | {(name, w) for w in before + after}
+        want.update(seen)
+    assert got == want and len(want) > 20
+
+
+def test_native_plans_have_no_python(spark):
+    from lumispec.llm import queries
+
+    for name in ("op1_pii", "op3_chat_formatting", "op6_license_scans", "op8_quality_rules"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|MapInArrow|MapInPandas|ArrowEval", plan), name
