@@ -295,6 +295,52 @@ def vip(m: dict[str, np.ndarray]) -> np.ndarray:
     return np.sqrt(len(w) * np.cumsum(r2 * w**2, axis=1) / total)
 
 
+def vip_drops(x: np.ndarray, y: np.ndarray, ncomp: int, rng: np.random.Generator, values: int = 1 << 22) -> np.ndarray:
+    """For each feature, its importance in the fit of all components less that after its column is shuffled.
+
+    A fit needs no sample, only the products of scaled x and y; a shuffled column changes one row and column of them. So
+    the fits of many features go side by side, as many as give at most so many values.
+    """
+    n, width = x.shape
+    sx, sy = x.std(0, ddof=1), y.std(0, ddof=1)
+    e, f = (x - x.mean(0)) / np.where(sx > 0, sx, 1.0), (y - y.mean(0)) / np.where(sy > 0, sy, 1.0)
+    ee, ef = e.T @ e, e.T @ f
+    count = min(ncomp, n - 1, width)
+    base = _vip_of_products(ee[None].copy(), ef[None].copy(), count)[0]
+    out, block = np.empty(width), max(1, values // max(1, width * width, n))
+    for start in range(0, width, block):
+        js = np.arange(start, min(width, start + block))
+        mixed = np.stack([rng.permutation(e[:, j]) for j in js], axis=1)
+        row, own, at = (e.T @ mixed).T, mixed.T @ f, np.arange(len(js))
+        row[at, js] = ee[js, js]
+        products, sides = np.repeat(ee[None], len(js), 0), np.repeat(ef[None], len(js), 0)
+        products[at, js], products[at, :, js], sides[at, js] = row, row, own
+        out[js] = base[js] - _vip_of_products(products, sides, count)[at, js]
+    return out
+
+
+def _vip_of_products(ee: np.ndarray, ef: np.ndarray, ncomp: int) -> np.ndarray:
+    """(fits, features): importances from stacks of x'x and x'y, which are deflated in place; a weight is the first singular vector of x'y, the limit of the steps in pls()."""
+    share, total = np.zeros(ee.shape[:2]), np.zeros(len(ee))
+    for _ in range(ncomp):
+        w = (ef @ np.linalg.eigh(ef.transpose(0, 2, 1) @ ef)[1][:, :, -1:])[:, :, 0]
+        size = np.linalg.norm(w, axis=1)
+        live = size >= 1e-12
+        if not live.any():
+            break
+        w = np.where(live[:, None], w / np.where(live, size, 1.0)[:, None], 0.0)
+        p = (ee @ w[:, :, None])[:, :, 0]
+        tt = (w * p).sum(1)
+        scale = np.where(tt > 0, tt, 1.0)
+        p, c = p / scale[:, None], (w[:, None, :] @ ef)[:, 0] / scale[:, None]
+        r2 = tt * (c * c).sum(1)
+        share, total = share + r2[:, None] * w**2, total + r2
+        ee -= tt[:, None, None] * p[:, :, None] * p[:, None, :]
+        ef -= tt[:, None, None] * p[:, :, None] * c[:, None, :]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.sqrt(share.shape[1] * share / total[:, None])
+
+
 def auc(score: np.ndarray, positive: np.ndarray) -> float:
     """Mann-Whitney statistic with average ranks."""
     order = np.argsort(score, kind="stable")

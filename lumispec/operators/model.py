@@ -350,12 +350,8 @@ def vip_bootstrap(spectra: DataFrame, y: str, n: int = 300, ncomp: int = 3, seed
             for i in pdf["id"].tolist():
                 rng = np.random.default_rng([seed, i])
                 pick = rng.integers(0, len(x), len(x))
-                own, hot = x[pick], _one_hot(labels[pick])[1]
-                base = kernels.vip(kernels.pls(own, hot, ncomp))[:, -1]
-                for j in range(x.shape[1]):
-                    other = own.copy()
-                    other[:, j] = rng.permutation(own[:, j])
-                    rows.append((j, float(base[j] - kernels.vip(kernels.pls(other, hot, ncomp))[j, -1])))
+                drops = kernels.vip_drops(x[pick], _one_hot(labels[pick])[1], ncomp, rng)
+                rows += enumerate(drops.tolist())
             yield pd.DataFrame(rows, columns=["feature", "drop"])
 
     drops = spark.range(n).repartition(min(n, 64)).mapInPandas(run, "feature int, drop double")

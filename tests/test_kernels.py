@@ -135,3 +135,20 @@ def test_splits_keep_groups_together(spark):
         assert set(part["group"]) == set(outer[(outer["outer"] == o) & (outer["role"] == "train")]["group"])
     balanced = model.subsample(df, 2, 0.5, balance="cls").join(df, "group").where("role = 'train'").groupBy("iteration", "cls").count().collect()
     assert {r["count"] for r in balanced} == {3}
+
+
+@pytest.mark.parametrize("n, p, q", [(40, 7, 2), (300, 20, 4), (30, 50, 3)])
+def test_vip_drops_are_those_of_plain_fits(n, p, q):
+    r = np.random.default_rng(n)
+    x, label = r.normal(size=(n, p)), r.integers(0, q, n)
+    x[:, 0] += label
+    x[:, 3] -= (label == 1) * 2
+    x[:, 5] = 1.0
+    y = (label[:, None] == np.arange(q)).astype(float)
+    got, g = kernels.vip_drops(x, y, 3, np.random.default_rng(9)), np.random.default_rng(9)
+    base = kernels.vip(kernels.pls(x, y, 3, 20000))[:, -1]
+    for j in range(p):
+        other = x.copy()
+        other[:, j] = g.permutation(x[:, j])
+        assert abs(got[j] - (base[j] - kernels.vip(kernels.pls(other, y, 3, 20000))[j, -1])) < 1e-6
+    assert np.allclose(got, kernels.vip_drops(x, y, 3, np.random.default_rng(9), 1), atol=1e-9)
