@@ -1,7 +1,9 @@
 """Operator 1, personal data, by information-theoretic sanitisation, with DataFrame functions only.
 
 The base patterns find e-mail addresses, IP addresses, card and phone numbers; each distinct value is a protected
-entity. Around every entity stand its context terms. With counts over the whole corpus, a term t reveals an entity e
+entity, whatever its separators, and so is the wider one that it belongs to: an address' domain, an IP network of 24
+bits, a card's issuer (six digits), a phone number but for its last four digits. A term may tell the wider entity (a firm,
+a site) where no single value comes often enough to be estimated. Around every entity stand its context terms. With counts over the whole corpus, a term t reveals an entity e
 by their pointwise mutual information over the entity's own information,
 
     reveals(e, t) = log2(p(e, t) / (p(e) p(t))) / -log2(p(e))
@@ -101,8 +103,17 @@ def joined(kind: str, found: Column) -> Column:
     return F.transform(found, lambda x: F.concat_ws(":", F.lit(kind), x["s"], x["e"]))
 
 
-def entity(kind: str, span: Column) -> Column:
-    return F.concat(F.lit(kind + ":"), F.lower(span["v"]))
+def entities(kind: str, span: Column) -> Column:
+    """The names of the value and of the wider entity."""
+    v = F.lower(span["v"])
+    if kind == "email":
+        wider = F.regexp_extract(v, "@.*$", 0)
+    elif kind == "ip":
+        wider = F.regexp_extract(v, r"^.*\.", 0)
+    else:
+        v = F.regexp_replace(v, "[^0-9]", "")
+        wider = F.concat(F.left(v, F.lit(6) if kind == "card" else F.length(v) - 4), F.lit("*"))
+    return F.array(F.concat(F.lit(kind + ":"), v), F.concat(F.lit(kind + ":"), wider))
 
 
 def terms(text: Column) -> Column:
@@ -113,7 +124,7 @@ def terms(text: Column) -> Column:
 def contexts(df: DataFrame) -> DataFrame:
     """(entity, term, context): once a document, what stands within WINDOW terms of an entity, with the hash of all the document's contexts; a null term for the entity itself."""
     text = F.col("_text")
-    all_spans = F.array_sort(of_kinds(lambda k, x: F.struct(x["s"].alias("s"), x["e"].alias("e"), entity(k, x).alias("entity"))))
+    all_spans = F.array_sort(of_kinds(lambda k, x: F.struct(x["s"].alias("s"), x["e"].alias("e"), entities(k, x).alias("names"))))
 
     def words(start: Column, end: Column) -> Column:
         gap = F.substr(text, start.cast("int") + 1, F.greatest(end - start, F.lit(0)).cast("int"))
@@ -129,7 +140,7 @@ def contexts(df: DataFrame) -> DataFrame:
             def one(x: Column, i: Column) -> Column:
                 before, after = F.slice(F.reverse(F.get(gaps, i)), 1, WINDOW), F.slice(F.get(gaps, i + 1), 1, WINDOW)
                 found = F.concat(F.array(F.lit(None).cast("string")), before, after)
-                return F.transform(found, lambda t: F.struct(x["entity"].alias("entity"), t.alias("term")))
+                return F.flatten(F.transform(x["names"], lambda name: F.transform(found, lambda t: F.struct(name.alias("entity"), t.alias("term")))))
 
             return F.transform(all_of, one)
 

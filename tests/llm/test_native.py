@@ -184,6 +184,32 @@ def test_columns_of_any_name_pass_through(spark):
             assert [r[n] for n in names] == names and r.doc_id == 1
 
 
+def test_terms_disclose_what_entities_share(spark):
+    """A firm's name stands near addresses of one domain, near cards of one issuer, numbers of one network or extension block; no value comes twice."""
+    firms = {
+        "acmecorp": lambda i: f"p{i}@mail.acme.org",
+        "bankhouse": lambda i: next(c for k in range(10) if luhn(c := f"495293000000{i:03d}{k}")),
+        "datacentre": lambda i: f"10.20.30.{i}",
+        "callshop": lambda i: f"+49 30 555 01{i:02d}",
+    }
+    rows = [(100 * n + i, f"day{n}x{i} the {name} and {entity(i)} the week{n}x{i}") for n, (name, entity) in enumerate(firms.items()) for i in range(6)]
+    rows += [(1000 + i, f"the day{i} and the plain words of week{i}") for i in range(300)] + [(2000, "the acmecorp and others")]
+    out = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        held = [n for n in firms if n in text]
+        want = [f"term:{text.index(n)}:{text.index(n) + len(n)}" for n in held]
+        assert out[i].term_spans == want, (i, out[i])
+    assert out[2000].sanitised == "the  and others"
+
+
+def test_entities_by_any_separators(spark):
+    """One card or phone number, however it is written."""
+    df = spark.createDataFrame([("4111 1111-1111 1111", "+49 (30) 123-4567")], "c string, p string")
+    span = lambda c: pii.F.struct(pii.F.col(c).alias("v"))
+    r = df.select(pii.entities("card", span("c")).alias("c"), pii.entities("phone", span("p")).alias("p")).first()
+    assert r.c == ["card:4111111111111111", "card:411111*"] and r.p == ["phone:49301234567", "phone:4930123*"]
+
+
 def test_terms_of_any_length_disclose(spark):
     """Nothing is cut on the way from an entity to the terms around it."""
     long = "q" * 3000
@@ -210,7 +236,8 @@ def test_context_by_brute_force(spark):
             word = lambda x: [w for w in re.split(r"[^\w]+", x.lower()) if re.search("[^\\W\\d]", w)]
             before = word(t[spans[j - 1][1] if j else 0 : s])[-5:]
             after = word(t[e : spans[j + 1][0] if j + 1 < len(spans) else len(t)])[:5]
-            seen |= {(name, None)} | {(name, w) for w in before + after}
+            wider = "email:" + name[name.index("@") :] if "@" in name else name[: name.rindex(".") + 1]
+            seen |= {(n, w) for n in (name, wider) for w in [None, *before, *after]}
         want.update(seen)
     assert got == want and len(want) > 20
 
