@@ -14,7 +14,8 @@ STAGES = [
     ("best-fit packing", packing.stage),
 ]
 
-#: Line-first cleaning, MinHash and packing have no SQL form; tests/llm holds run() against a brute-force version.
+#: Line-first cleaning, MinHash and packing have no SQL form. tests/llm holds run()'s join against brute force and calls
+#: the other stages' operators by hand; those have brute-force tests of their own.
 ORACLE_SQL = None
 
 
