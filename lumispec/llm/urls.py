@@ -73,7 +73,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
 
 
 def op5_url_filters(spark, sf_dir):
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    rules = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in RULES])))
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
