@@ -123,3 +123,28 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def op6_license_scans(spark, sf_dir):
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def sql() -> str:
+    """DuckDB's form: each word of a file that a template holds is a vote for a start, and starts with the whole key phrase count."""
+    words = ", ".join(f"('{label}', {p}, '{x}', {str(k <= p < k + n).lower()})" for label, t, k, n in templates() for p, x in enumerate(t))
+    kinds = ", ".join(f"('{label}', {len(t)}, {n}, {str(label in BASE).lower()})" for label, t, _, n in templates())
+    return rf"""
+with t(label, p, word, in_key) as (values {words}),
+k(label, n, n_key, base) as (values {kinds}),
+d as (
+  select row_number() over () as row, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents),
+w as (select row, unnest(w) as word, generate_subscripts(w, 1) - 1 as i from d),
+votes as (select row, label, i - p as s, count(*) as same, count(*) filter (in_key) as keyed from w join t using (word) group by all),
+found as (select row, label, base, s, same / n as share from votes join k using (label) where keyed = n_key and same >= {MIN_SHARE} * n),
+scored as (select row, max(same / n) as score from votes join k using (label) where keyed = n_key group by row),
+of_row as (
+  select row, count(*) filter (base) as n_base, min(s) filter (base) as first_word, max(s) filter (base) as last_word,
+    string_agg(distinct label, ',' order by label) filter (base) as base_labels, string_agg(distinct label, ',' order by label) as labels
+  from found group by row)
+select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+  coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0)::double as score
+from d left join of_row using (row) left join scored using (row)
+"""

@@ -116,3 +116,43 @@ def stage(spark, docs, sf_dir):
     """Pipeline: rejected documents go; the others go on with their cleaned text."""
     out = judge(docs.select("doc_id", "text", "lang", "source"), only_kept=True)
     return out.select("doc_id", F.col("cleaned").alias("text"), "lang", "source", F.length("cleaned").cast("long").alias("n_chars"))
+
+
+def sql() -> str:
+    """DuckDB's form, line by line and window by window."""
+    any_of = lambda phrases: "|".join(phrases).replace("'", "''")
+    gap, word = f"[{SPACE}]*", f"[^{SPACE}]"
+    trail_of = lambda x: f"regexp_matches({x}, '{word}{gap}[|»›]{gap}{word}[^|»›]*[|»›]{gap}{word}[^|»›]*[|»›]')"
+    count_of = lambda x, regex: f"len(regexp_extract_all({x}, '{regex}'))"
+    return rf"""
+with d as (select row_number() over () as row, doc_id, coalesce(text, '') as t from documents),
+w as (select row, regexp_extract_all(t, '{word}+') as w from d),
+flat as (select row, unnest(w) as x, generate_subscripts(w, 1) as i from w),
+triples as (select row, i, x as a, lead(x, 1) over (partition by row order by i) as b, lead(x, 2) over (partition by row order by i) as c from flat),
+again as (select row, i from (select row, i, count(*) over (partition by row, a, b, c) as n from triples where c is not null) where n > 1),
+repeats as (select row, count(distinct j) as n_repeat_words from (select row, unnest([i, i + 1, i + 2]) as j from again) group by row),
+lines as (select row, unnest(string_split(t, chr(10))) as x from d),
+seen as (
+  select row, x, lower(x) as low, {count_of("x", word + "+")} as n, length(regexp_replace(x, '[{SPACE}]+', '', 'g')) as chars,
+    regexp_replace(regexp_replace(x, '«[^«»]*»|‹[^‹›]*›', 'q', 'g'), '»[^«»]*«|›[^‹›]*‹', 'q', 'g') as bare
+  from lines),
+judged as (
+  select row, x, n, chars,
+    {count_of("x", r"[#*$%&|<>{}\\]")} > {MAX_SYMBOLS} * n
+    or n >= 3 and {count_of("x", f"[!?]{{2,}}(?:[{SPACE}]|$)")} > {MAX_SHOUTS} * n
+    or not regexp_matches(x, '[\p{{L}}\p{{N}}]')
+    or n <= 4 and regexp_matches(low, '^{gap}[>»«‹›]*{gap}({any_of(NAVIGATION)})[{SPACE}>»«‹›.:]*$')
+    or {trail_of("x")} and {trail_of("bare")} and {WORDS_BETWEEN} * {count_of("bare", "[|»›]")} >= {count_of("x", f"[^{SPACE}|»›]+")}
+    or n <= 30 and regexp_matches(low, '{any_of(BOILERPLATE)}') as fails
+  from seen where n > 0),
+of_row as (
+  select row, sum(n) as n_words, sum(chars) as word_chars, count(*) - count(distinct x) as n_dup_lines, sum(chars) filter (not fails) as kept_chars
+  from judged group by row),
+counted as (
+  select doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(word_chars, 0)::bigint as word_chars, {count_of("t", "[#*$%&|<>]")}::bigint as n_symbols,
+    coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(kept_chars, 0) as kept_chars
+  from d left join of_row using (row) left join repeats using (row))
+select * exclude (kept_chars), n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and kept_chars >= {MIN_KEPT} * word_chars as kept
+from counted
+"""

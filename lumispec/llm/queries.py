@@ -20,4 +20,6 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op3_chat_formatting": chat.SQL_OP3,
     "op5_url_filters": urls.SQL_OP5,
+    "op6_license_scans": licenses.sql(),
+    "op8_quality_rules": quality.sql(),
 }
