@@ -531,6 +531,19 @@ def ambiguous_cells(spark, sf):
     return cells.select("sample_id", "ppm_ref", F.array_join("peak_ids", ",").alias("peak_ids"))
 
 
+@query(G + BOUNDS + " select pk.sample_id, pos, round(-pi() / 2 * pow(sqrt(3::double) / 2 * (greatest(a, b) - least(a, b)), 3) * d2, 6) + 0.0::double as area from pk left join bd using (sample_id, pos) left join sg on sg.sample_id = pk.sample_id and sg.idx = pos")
+def lorentz_area_curvature(spark, sf):
+    out = peaks.inflections(grid(spark, sf), found(spark, sf), amplitude="second_derivative")
+    return out.select("sample_id", "pos", (F.round("area", 6) + F.lit(0.0)).alias("area"))  # no negative zeros
+
+
+@query(G + BOUNDS + """, low as (select sample_id, min(intensity) as low from g group by 1)
+select pk.sample_id, pos, round(pi() * sqrt(3::double) / 2 * (greatest(a, b) - least(a, b)) * (intensity - low), 6) as area from pk left join bd using (sample_id, pos) join low on low.sample_id = pk.sample_id""")
+def lorentz_area_baseline(spark, sf):
+    g = grid(spark, sf).withColumn("baseline", F.min("intensity").over(Window.partitionBy("sample_id")))
+    return peaks.inflections(g, found(spark, sf), amplitude="without_baseline").select("sample_id", "pos", r6(F.col("area"), "area"))
+
+
 @query(GAPS + " select a.peak_id as a, b.peak_id as b, round(case when a.sample_id = b.sample_id then 3 * 0.25 else abs(a.ppm - b.ppm) end, 6) as distance from p a join p b on a.peak_id < b.peak_id and abs(a.ppm - b.ppm) < 0.25::double")
 def peak_distances(spark, sf):
     return peaks.distances(listed(spark, sf), 0.25).select("a", "b", r6(F.col("distance"), "distance"))
@@ -653,6 +666,12 @@ def double_cv(spark, sf):
     return analysis.double_cv(x, "label", method=analysis.plsda_method(3))[2]
 
 
+@query()
+def permuted_double_cv(spark, sf):
+    x = spectra.to_arrays(grid(spark, sf)).join(classes(spark, sf), "sample_id")
+    return analysis.permuted_double_cv(x, "label", ncomp=3)
+
+
 @query()
 def kfold_vip(spark, sf):
     x = spectra.to_arrays(grid(spark, sf)).join(classes(spark, sf), "sample_id")

@@ -86,6 +86,49 @@ def double_cv(data: DataFrame, y: str, identity: str = SAMPLE, outer: int = 3, i
     return tried, last, method.digest(last)
 
 
+def _enough(aucs: np.ndarray, least: float) -> int:
+    """choose_ncomp() for one fold: aucs by number of components."""
+    short = np.flatnonzero(np.diff(aucs) < least)
+    if len(short):
+        return int(short[0]) + 1
+    return 1 if np.isnan(aucs).all() else len(aucs)
+
+
+def permuted_double_cv(data: DataFrame, y: str, identity: str = SAMPLE, n: int = 50, outer: int = 3, inner: int = 3, test_size: float = 0.25, ncomp: int = 5, least: float = 0.05, seed: int = 0) -> DataFrame:
+    """(permutation, ncomp, auc): the mean outer AUC of a whole double cross-validation by discriminant PLS, splits and choice of components included, for each shuffle of the classes; permutation 0 has the true ones.
+
+    A permutation is a task. Whole groups of identity are trained or tested; an AUC that no outer split has is NaN.
+    """
+    spark = data.sparkSession
+    meta, x = model.matrix(data, *{y, identity} - {SAMPLE})
+    shared = spark.sparkContext.broadcast((x, meta[y].to_numpy(), pd.factorize(meta[identity])[0]))
+
+    def deal(rng, groups):
+        mixed = rng.permutation(groups)
+        return mixed[int(len(mixed) * test_size) :]
+
+    def run(batches):
+        x, labels, ids = shared.value
+        for pdf in batches:
+            rows = []
+            for i in pdf["id"].tolist():
+                rng = np.random.default_rng([seed, i])
+                own = rng.permutation(labels) if i else labels
+                trained = [deal(rng, np.unique(ids)) for _ in range(outer)]
+                chosen = []
+                for groups in trained:
+                    use = np.isin(ids, groups)
+                    tried = [model._aucs(x[use], own[use], np.isin(ids[use], deal(rng, groups)), ncomp) for _ in range(inner)]
+                    most = min(map(len, tried))
+                    chosen.append(_enough(np.mean([a[:most] for a in tried], axis=0), least))
+                best = int(round(float(np.median(chosen))))
+                last = np.array([model._aucs(x, own, np.isin(ids, groups), best)[-1] for groups in trained])
+                rows.append((i, best, float(last[~np.isnan(last)].mean()) if not np.isnan(last).all() else float("nan")))
+            yield pd.DataFrame(rows, columns=["permutation", "ncomp", "auc"])
+
+    return spark.range(n + 1).repartition(n + 1).mapInPandas(run, "permutation long, ncomp int, auc double")
+
+
 def kfold_vip(data: DataFrame, y: str, k: int = 4, n: int = 300, ncomp: int = 3) -> DataFrame:
     """(feature, folds, p): in how many folds (i mod k is left out) a feature is relevant, and the one-sided signed-rank p-value of its drops."""
     parts = None

@@ -50,12 +50,19 @@ def overlaps(lo: Column, hi: Column, regions: dict) -> Column:
     return out
 
 
-def inflections(spectra: DataFrame, peaks: DataFrame, half: int = 10) -> DataFrame:
+#: What a Lorentzian's area is taken from: its height, its second derivative at the top, or its height over spectra's column baseline.
+AMPLITUDES = ("intensity", "second_derivative", "without_baseline")
+
+
+def inflections(spectra: DataFrame, peaks: DataFrame, half: int = 10, amplitude: str = "intensity") -> DataFrame:
     """peaks with ppm_infl_min, ppm_infl_max, gamma_ppb and the closed-form area of a Lorentzian.
 
     The bounds are the sign changes of the second derivative next to the top, on the line between the two points;
-    gamma is sqrt(3) / 2 of their distance. Exact zeros are no sign changes.
+    gamma is sqrt(3) / 2 of their distance. Exact zeros are no sign changes. amplitude is one of AMPLITUDES; without a
+    second derivative or a baseline at the top there is no area by them.
     """
+    if amplitude not in AMPLITUDES:
+        raise ValueError(f"amplitude is one of {AMPLITUDES}")
     w = Window.partitionBy(SAMPLE).orderBy("idx")
     d = savgol_second(spectra, half)
     d = d.withColumns({"_pd": F.lag("d2").over(w), "_pp": F.lag("ppm").over(w)})
@@ -63,10 +70,16 @@ def inflections(spectra: DataFrame, peaks: DataFrame, half: int = 10) -> DataFra
     d = d.withColumn("_x", cross)
     left = F.last("_x", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     right = F.first("_x", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    at = d.withColumns({"_left": left, "_right": right}).select(SAMPLE, F.col("idx").alias("pos"), F.least("_left", "_right").alias("ppm_infl_min"), F.greatest("_left", "_right").alias("ppm_infl_max"))
+    top = {"second_derivative": F.col("d2"), "without_baseline": F.col("intensity") - F.col("baseline")}.get(amplitude, F.lit(None))
+    at = d.withColumns({"_left": left, "_right": right, "_top": top.cast("double")}).select(SAMPLE, F.col("idx").alias("pos"), F.least("_left", "_right").alias("ppm_infl_min"), F.greatest("_left", "_right").alias("ppm_infl_max"), "_top")
     out = peaks.join(at, [SAMPLE, "pos"], "left")
     gamma = F.lit(math.sqrt(3) / 2) * (F.col("ppm_infl_max") - F.col("ppm_infl_min"))
-    return out.withColumn("gamma_ppb", 1000 * gamma).withColumn("area", F.lit(math.pi) * gamma * F.col("intensity"))
+    area = {
+        "intensity": F.lit(math.pi) * gamma * F.col("intensity"),
+        "second_derivative": F.lit(-math.pi / 2) * gamma * gamma * gamma * F.col("_top"),
+        "without_baseline": F.lit(math.pi) * gamma * F.col("_top"),
+    }[amplitude]
+    return out.withColumn("gamma_ppb", 1000 * gamma).withColumn("area", area).drop("_top")
 
 
 def one_per_span(peaks: DataFrame) -> DataFrame:
