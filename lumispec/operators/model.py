@@ -6,6 +6,7 @@ positions; like the sets they stand for, these are bounded by MATRIX values, whi
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
 import numpy as np
@@ -157,9 +158,23 @@ def baseline(spectra: DataFrame, lam: float = 9.0, p: float = 0.05, maxit: int =
     return out.drop("baseline") if remove else out
 
 
-def interpolate(spectra: DataFrame, axis: tuple[float, float, float]) -> DataFrame:
-    """Onto a regular axis (least, largest, step); null outside a sample's own."""
+def common_axis(spectra: DataFrame) -> tuple[float, float, float]:
+    """(least, largest, step): what all samples' axes cover, in the smallest of their median steps; nulls if no sample has two points."""
+    ppm = F.col("ppm")
+    steps = F.sort_array(F.zip_with(F.slice(ppm, F.lit(2), F.size(ppm) - 1), F.slice(ppm, F.lit(1), F.size(ppm) - 1), lambda a, b: F.abs(a - b)))
+    middle = (F.get(steps, F.floor((F.size(steps) - 1) / 2).cast("int")) + F.get(steps, F.floor(F.size(steps) / 2).cast("int"))) / 2
+    used = spectra.where(F.size(ppm) > 1)
+    return tuple(used.agg(F.max(F.array_min(ppm)), F.min(F.array_max(ppm)), F.min(middle)).first())
+
+
+def interpolate(spectra: DataFrame, axis: tuple | None = None) -> DataFrame:
+    """Onto a regular axis (least, largest, step); null outside a sample's own. Without a step, or without an axis, these are the samples' own, see common_axis()."""
+    if axis is None or len(axis) == 2:
+        own = common_axis(spectra)
+        axis = own if axis is None else (*axis, own[2])
     lo, hi, by = axis
+    if lo is None or by is None or hi < lo:
+        raise ValueError("the samples have no axis in common")
     at = lo + by * np.arange(int(np.floor((hi - lo) / by + 1e-9)) + 1)
 
     def one(row):
@@ -199,8 +214,10 @@ def refine(spectra: DataFrame, peaks: DataFrame) -> DataFrame:
     return _each(spectra.join(lists, SAMPLE), f"{SAMPLE} {_id_type(spectra)}, pos int, ppm double, gamma_ppb double, area double, norm_rmse double, refined boolean", one)
 
 
-def align(spectra: DataFrame, positions: DataFrame, reference, most: int) -> DataFrame:
-    """All samples shifted onto the reference, segment by segment, by at most so many points. positions: (sample_id, positions)."""
+def align(spectra: DataFrame, positions: DataFrame, reference, most: int | None = None, most_ppm: float = 0.0015) -> DataFrame:
+    """All samples shifted onto the reference, segment by segment, by at most so many points, or the points that cover most_ppm. positions: (sample_id, positions)."""
+    if most is None:
+        most = math.ceil(most_ppm / common_axis(spectra)[2])
     both = spectra.join(positions, SAMPLE)
     ref = both.where(F.col(SAMPLE) == F.lit(reference)).select("intensity", "positions").collect()  # one sample
     if len(ref) != 1:

@@ -1,4 +1,4 @@
-"""Areas by the three amplitudes on known Lorentzians, and permutations over the double cross-validation."""
+"""Areas by the three amplitudes on known Lorentzians, axes taken from the data, and permutations over the double cross-validation."""
 
 import math
 
@@ -52,3 +52,25 @@ def test_permutations_over_double_cv(spark):
     assert max(shuffled) < out[0]["auc"] and 0.3 < float(np.mean(shuffled)) < 0.7
     again = {r["permutation"]: r for r in analysis.permuted_double_cv(data, "label", "subject", n=2, ncomp=2).collect()}
     assert all(again[i] == out[i] for i in again)
+
+
+def test_axis_of_the_samples(spark):
+    rows = [(1, [float(i) for i in range(11)]), (2, [0.5 * i for i in range(19, 0, -1)]), (3, [4.0])]
+    data = spark.createDataFrame([(i, x, [2 * v for v in x]) for i, x in rows], "sample_id long, ppm array<double>, intensity array<double>")
+    assert model.common_axis(data) == (0.5, 9.5, 0.5)
+    two = data.where("sample_id < 2")
+    out = model.interpolate(two).first()
+    assert out["ppm"] == [float(i) for i in range(11)] and out["intensity"] == pytest.approx([2.0 * i for i in range(11)])
+    assert model.interpolate(two, (2.0, 4.0)).first()["ppm"] == [2.0, 3.0, 4.0]
+    with pytest.raises(ValueError):
+        model.interpolate(data.where("sample_id = 3"))
+
+
+def test_shift_in_ppm(spark):
+    x = [round(0.001 * i, 3) for i in range(200)]
+    y = [math.exp(-((i - 100) ** 2) / 18) for i in range(200)]
+    data = spark.createDataFrame([(1, x, y), (2, x, y[-3:] + y[:-3])], "sample_id long, ppm array<double>, intensity array<double>")
+    at = spark.createDataFrame([(1, [100]), (2, [103])], "sample_id long, positions array<int>")
+    top = lambda ppm: int(np.argmax(model.align(data, at, 1, most_ppm=ppm).where("sample_id = 2").first()["intensity"]))
+    assert top(0.0042) == 100
+    assert top(0.0042) == int(np.argmax(model.align(data, at, 1, 5).where("sample_id = 2").first()["intensity"]))
