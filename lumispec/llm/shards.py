@@ -31,6 +31,8 @@ from .tokens import encoded
 #: Ids to a frame at most.
 FRAME = 1 << 20
 LEVEL = 3
+#: Bytes that a worker remembers at most: two workers stand beside an executor's heap.
+REMEMBER = 64 << 20
 # Fixed values of the public formats.
 SEEK_FRAME, INDEX_FRAME, SEEK_END = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frame", "<u4"), ("frames", "<u4"), ("ids", "<u8")])
@@ -122,7 +124,7 @@ def write_shards(docs: DataFrame, directory: str, tokenizer: str, end_id: int, s
         part, out = TaskContext.get().partitionId(), None
         fs, path = file_system(directory)
         name, mine = f"{path}/part-{part:06d}.ids.zst", f"{path}/_part-{part:06d}-{uuid.uuid4().hex}"
-        for batch, ids, offsets in encoded(batches, "text", tokenizer, spaced, end_id):
+        for batch, ids, offsets in encoded(batches, "text", tokenizer, spaced, end_id, REMEMBER):
             if out is None:
                 fs.create_dir(path, recursive=True)
                 out = Writer(fs.open_output_stream(mine, compression=None), 4)

@@ -4,9 +4,11 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 
 from lumispec.llm import bpe, packing, shards, tokens
@@ -62,6 +64,37 @@ def test_output_round_trip(spark):
     assert shards.read_shards(spark, shards.write_shards(df.limit(0), "/tmp/none", P.path("word_bpe_49k.json"), 2)).count() == 0
 
 
+def test_output_has_a_bound_of_its_own(tmp_path, monkeypatch):
+    """Two workers stand beside an executor's heap: what they remember is bounded, and ids stay right when it is forgotten."""
+    path, bound, frames = P.path("word_bpe_49k.json"), 100_000, []
+    assert shards.REMEMBER <= 64 << 20
+    monkeypatch.setattr(shards, "REMEMBER", bound)
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choices("etaoinshrdlu", k=9)) for _ in range(400)) for _ in range(30)]
+
+    class Frame:
+        """What write_shards uses of a DataFrame, in this process."""
+
+        sparkSession = None
+        select = repartitionByRange = sortWithinPartitions = lambda self, *_: self
+
+        def mapInArrow(self, run, schema):
+            frames.extend(r for b in run(pa.RecordBatch.from_pydict({"doc_id": [k], "text": [t]}) for k, t in enumerate(texts)) for r in b.to_pylist())
+            return self
+
+        def collect(self):
+            return [dict(r) for r in frames]
+
+    monkeypatch.setattr(shards, "partitions", lambda spark: 1)
+    monkeypatch.setattr(shards, "F", SimpleNamespace(substring=lambda *_: None))
+    monkeypatch.setattr(shards, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    ((_, name, documents, _),) = shards.write_shards(Frame(), str(tmp_path), path, 2)
+    r = shards.Reader(shards.file_system(name)[0].open_input_file(name))
+    assert documents == 30 and [r.document(i).tolist() for i in range(30)] == [x + [2] for x in reference("word_bpe_49k.json", texts)]
+    memory = tokens.memory_of(path, False, bound)
+    assert len(memory.known) < 30 * 400 / 4
+
+
 def test_damage(tmp_path, spark):
     with open(tmp_path / "f", "wb") as f:
         w = shards.Writer(f)
