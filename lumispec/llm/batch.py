@@ -2,9 +2,9 @@
 
 Files are encoded with Huffman codes of their own and back-references, a colour cache where it is met often, and the
 transforms of the format. Subtract-green is chosen by the entropy of the colours; predictor (a mode a block), with
-cross-colour after it, and palette are encoded, too, where the entropy speaks for them, and the smallest file is kept.
-The decoder reads any file with one group of codes that are at most LIMIT bits long, all files in step, a symbol at a
-time; webp.decode() reads the others. Regions with codes of their own are not written: a strip is such a region.
+cross-colour after it, palette, and regions with codes of their own are encoded, too, where the entropy speaks for them,
+and the smallest file is kept. The decoder reads any file with up to GROUPS groups of codes that are at most LIMIT bits
+long, all files in step, a symbol at a time; webp.decode() reads the others.
 """
 
 from __future__ import annotations
@@ -197,8 +197,8 @@ def references(pixels: np.ndarray, first: int) -> list[tuple[int, int, int]]:
             at = i + 1
 
 
-def put_images(fields: Fields, owners: np.ndarray, images: list[np.ndarray], top: bool) -> None:
-    """Entropy-codes a (height, width) image of 32-bit numbers for each of the files; top: the files' own, not those of transforms."""
+def put_images(fields: Fields, owners: np.ndarray, images: list[np.ndarray], regions: list[np.ndarray | None] | None = None) -> None:
+    """Entropy-codes a (height, width) image of 32-bit numbers for each of the files; regions: of the files' own images, the group of codes of each block, or None."""
     n = len(images)
     if not n:
         return
@@ -206,6 +206,13 @@ def put_images(fields: Fields, owners: np.ndarray, images: list[np.ndarray], top
     argb = np.concatenate([i.ravel() for i in images])
     owner = np.repeat(np.arange(n), sizes)
     begin = np.cumsum(sizes) - sizes
+    groups, part = np.ones(n, np.int64), np.zeros(len(argb), np.int64)
+    split = np.array([k for k, r in enumerate(regions or []) if r is not None], np.int64)
+    for k in split.tolist():
+        groups[k] = regions[k].max() + 1
+        part[begin[k] : begin[k] + sizes[k]] = by_pixel_of(regions[k], REGION_BITS, images[k]).ravel()
+    first_code = np.cumsum(groups) - groups
+    code, code_owner, n_codes = first_code[owner] + part, np.repeat(np.arange(n), groups), int(groups.sum())
     green, red, blue, alpha = ((argb >> np.uint32(k) & np.uint32(255)).astype(np.int64) for k in (8, 16, 0, 24))
     copies = [c for s, k in zip(begin.tolist(), sizes.tolist()) for c in references(argb[s : s + k], s)]
     at, length, distance = np.array(copies, np.int64).reshape(-1, 3).T
@@ -226,7 +233,7 @@ def put_images(fields: Fields, owners: np.ndarray, images: list[np.ndarray], top
     token[at] = True
     where = np.flatnonzero(token)
     place_of = np.cumsum(token) - 1
-    t_owner = owner[where]
+    t_code = code[where]
     symbol = np.where(hit[where], GREEN + slot[where], green[where])
     far = distance + len(webp.NEAR)
     for w in np.unique(widths[owner[at]]).tolist():
@@ -236,27 +243,31 @@ def put_images(fields: Fields, owners: np.ndarray, images: list[np.ndarray], top
     l_code, d_code = PREFIX[length - 1], PREFIX[far - 1]
     symbol[place_of[at]] = webp.LITERALS + l_code[:, 0]
     alphabet = GREEN + (1 << CACHE_BITS)
-    l_owner = owner[literal]
+    l_code_owner = code[literal]
     first = alpha[begin]
     varied = bool((alpha != first[owner]).any())
-    counts = [np.bincount(t_owner * alphabet + symbol, minlength=n * alphabet).reshape(n, -1)]
-    counts += [np.bincount(l_owner * 256 + c[literal], minlength=n * 256).reshape(n, -1) for c in ((red, blue, alpha) if varied else (red, blue))]
+    counts = [np.bincount(t_code * alphabet + symbol, minlength=n_codes * alphabet).reshape(n_codes, -1)]
+    counts += [np.bincount(l_code_owner * 256 + c[literal], minlength=n_codes * 256).reshape(n_codes, -1) for c in ((red, blue, alpha) if varied else (red, blue))]
     if not varied:
-        counts.append(np.zeros((n, 256), np.int64))
-        counts[3][np.arange(n), first] = 1
-    counts.append(np.bincount(owner[at] * webp.DISTANCES + d_code[:, 0], minlength=n * webp.DISTANCES).reshape(n, -1))
+        counts.append(np.zeros((n_codes, 256), np.int64))
+        counts[3][np.arange(n_codes), first[code_owner]] = 1
+    counts.append(np.bincount(code[at] * webp.DISTANCES + d_code[:, 0], minlength=n_codes * webp.DISTANCES).reshape(n_codes, -1))
     lengths = [code_lengths(c) for c in counts]
     words = [codewords(l) for l in lengths]
     fields.add(owners, np.where(cached, 1 | CACHE_BITS << 1, 0), np.where(cached, 5, 1))
-    if top:
-        fields.same(0, 1, owners)  # one group of codes: a strip is a region of its own
-    alone = [np.where((l > 0).any(axis=1), -1, c.argmax(axis=1)) for c, l in zip(counts, lengths)]
-    shown = np.where(cached, alphabet, GREEN)
-    for k, (l, only) in enumerate(zip(lengths, alone)):
+    if regions is not None:
+        fields.same(0, 1, np.delete(owners, split))
+        fields.same(1 | REGION_BITS - 2 << 1, 4, owners[split])
+        put_images(fields, owners[split], [np.uint32(0xFF000000) | regions[k].astype(np.uint32) << np.uint32(8) for k in split])
+    only_symbol = [np.where((l > 0).any(axis=1), -1, c.argmax(axis=1)) for c, l in zip(counts, lengths)]
+    shown = np.where(cached, alphabet, GREEN)[code_owner]
+    for g, k in ((g, k) for g in range(int(groups.max())) for k in range(5)):
+        some = first_code[groups > g] + g
+        l, only, of = lengths[k][some], only_symbol[k][some], owners[code_owner[some]]
         simple = np.flatnonzero(only >= 0)
         wide = only[simple] > 1
-        fields.add(owners[simple], np.where(wide, 0b101, 0b001) | only[simple] << 3, np.where(wide, 11, 4))
-        full = owners[only < 0]
+        fields.add(of[simple], np.where(wide, 0b101, 0b001) | only[simple] << 3, np.where(wide, 11, 4))
+        full = of[only < 0]
         fields.add(full, np.full(len(full), 12 << 1), np.full(len(full), 5))
         fields.add(full, np.full(len(full), sum(4 << 3 * j for j in range(16))), np.full(len(full), 48))
         fields.add(full, np.zeros(len(full)), np.ones(len(full)))
@@ -264,42 +275,44 @@ def put_images(fields: Fields, owners: np.ndarray, images: list[np.ndarray], top
         new = np.append(True, row[1:] != row[:-1])[: len(row)]
         gap = np.where(new, s, s - np.append(0, s[:-1])[: len(s)] - 1)
         ends = np.flatnonzero(np.append(new[1:], True)) if len(row) else np.zeros(0, int)
-        tops = shown if k == 0 else np.full(n, l.shape[1])
+        tops = shown[some] if k == 0 else np.full(len(some), l.shape[1])
         tail = tops[row[ends]] - s[ends] - 1
         # A field for each length, after the zeros before it, and one for the zeros at the end.
         values = RUNS[0][gap] | FIELD[l[row, s]] << RUNS[1][gap].astype(np.uint64)
         spots = np.arange(len(row)) + np.cumsum(new) - 1
         all_owner, all_value, all_size = (np.zeros(len(row) + len(ends), t) for t in (np.int64, np.uint64, np.int64))
-        all_owner[spots], all_value[spots], all_size[spots] = owners[row], values, RUNS[1][gap] + 4
+        all_owner[spots], all_value[spots], all_size[spots] = of[row], values, RUNS[1][gap] + 4
         spots = ends + np.arange(len(ends)) + 1
-        all_owner[spots], all_value[spots], all_size[spots] = owners[row[ends]], RUNS[0][tail], RUNS[1][tail]
+        all_owner[spots], all_value[spots], all_size[spots] = of[row[ends]], RUNS[0][tail], RUNS[1][tail]
         fields.add(all_owner, all_value, all_size)
     # Tokens: up to 44 bits of a literal, or a copy's length and distance with their extra bits.
-    bits, size = words[0][t_owner, symbol], lengths[0][t_owner, symbol]
+    bits, size = words[0][t_code, symbol], lengths[0][t_code, symbol]
     is_literal = literal[where]
     for c, k in ((red, 1), (blue, 2), *([(alpha, 3)] if varied else [])):
-        w, l = words[k][t_owner, c[where]], lengths[k][t_owner, c[where]]
+        w, l = words[k][t_code, c[where]], lengths[k][t_code, c[where]]
         bits = bits | np.where(is_literal, w << size, 0)
         size = size + np.where(is_literal, l, 0)
     if len(at):
-        p, o = place_of[at], owner[at]
-        for code, k in ((l_code, None), (d_code, 4)):
+        p, o = place_of[at], code[at]
+        for amount, k in ((l_code, None), (d_code, 4)):
             if k is not None:
-                bits[p] |= words[k][o, code[:, 0]] << size[p]
-                size[p] += lengths[k][o, code[:, 0]]
-            bits[p] |= code[:, 2] << size[p]
-            size[p] += code[:, 1]
-    fields.add(owners[t_owner], bits, size)
+                bits[p] |= words[k][o, amount[:, 0]] << size[p]
+                size[p] += lengths[k][o, amount[:, 0]]
+            bits[p] |= amount[:, 2] << size[p]
+            size[p] += amount[:, 1]
+    fields.add(owners[owner[where]], bits, size)
 
 
-#: What a file stores: its width and height, its transforms in order as (kind, bits of the blocks or colours - 1, their image), its image.
-Item = tuple[int, int, list[tuple[int, int, np.ndarray | None]], np.ndarray]
+#: What a file stores: its width and height, its transforms in order as (kind, bits of the blocks or colours - 1, their image), its image, its regions.
+Item = tuple[int, int, list[tuple[int, int, np.ndarray | None]], np.ndarray, np.ndarray | None]
+#: Regions are of blocks of 4 by 4; groups of codes that the decoder takes in step.
+REGION_BITS, GROUPS = 2, 16
 
 
 def coded(items: list[Item]) -> list[bytes]:
     n = len(items)
     fields = Fields(n)
-    fields.add(np.arange(n), np.array([(w - 1) | (h - 1) << 14 | 1 << 28 for w, h, _, _ in items]), np.full(n, 32))
+    fields.add(np.arange(n), np.array([(w - 1) | (h - 1) << 14 | 1 << 28 for w, h, *_ in items]), np.full(n, 32))
     for step in range(max(len(i[2]) for i in items)):
         having = [(k, *i[2][step]) for k, i in enumerate(items) if step < len(i[2])]
         owners, kinds, extra = (np.array([h[j] for h in having]) for j in range(3))
@@ -307,9 +320,9 @@ def coded(items: list[Item]) -> list[bytes]:
         value = np.where(kinds == webp.PALETTE, extra, np.where(kinds == webp.SUBTRACT, 0, extra - 2))
         fields.add(owners, 1 | kinds << 1 | value << 3, 3 + wide)
         some = [h for h in having if h[3] is not None]
-        put_images(fields, np.array([h[0] for h in some], np.int64), [h[3] for h in some], False)
+        put_images(fields, np.array([h[0] for h in some], np.int64), [h[3] for h in some])
     fields.same(0, 1)
-    put_images(fields, np.arange(n), [i[3] for i in items], True)
+    put_images(fields, np.arange(n), [i[3] for i in items], [i[4] for i in items])
     out = []
     for body in fields.files():
         body = b"\x2f" + body
@@ -433,7 +446,7 @@ def by_palette(pixels: np.ndarray) -> tuple[Item, int]:
     size = webp.bundled(n)
     index = np.pad(index.reshape(height, width), ((0, 0), (0, -width % (1 << size)))).reshape(height, -1, 1 << size)
     green = sum(index[..., k].astype(np.uint32) << np.uint32((8 >> size) * k) for k in range(1 << size))
-    item = width, height, [(webp.PALETTE, n - 1, webp.numbers(deltas[None]))], np.uint32(0xFF000000) | green << np.uint32(8)
+    item = width, height, [(webp.PALETTE, n - 1, webp.numbers(deltas[None]))], np.uint32(0xFF000000) | green << np.uint32(8), None
     return item, estimate(green[None])[0] + estimate(deltas.T).sum()
 
 
@@ -447,7 +460,7 @@ def looked_at(planes: np.ndarray) -> tuple[list[Item], list[list[Item]]]:
     base = np.where(subtract[:, None, None], less, planes)
     bits = np.minimum(bits, less_bits) + estimate(planes[1])
     before = [[(webp.SUBTRACT, 0, None)] if s else [] for s in subtract]
-    items = [(width, height, b, i) for b, i in zip(before, pixels_of(base, 255))]
+    items = [(width, height, b, i, None) for b, i in zip(before, pixels_of(base, 255))]
     others: list[list[Item]] = [[] for _ in items]
     rest, modes = predict(base)
     blocks = modes[0].size
@@ -462,7 +475,16 @@ def looked_at(planes: np.ndarray) -> tuple[list[Item], list[list[Item]]]:
             steps = [*before[k], (webp.PREDICTOR, BLOCK_BITS, np.uint32(0xFF000000) | m << np.uint32(8))]
             if g:
                 steps.append((webp.CROSS, BLOCK_BITS, webp.numbers(f)))
-            others[k].append((width, height, steps, i))
+            others[k].append((width, height, steps, i, None))
+    # Two groups of codes, for the upper and the lower blocks.
+    shape = webp.up(height, REGION_BITS), webp.up(width, REGION_BITS)
+    if shape[0] > 1:
+        upper = shape[0] // 2
+        y = upper << REGION_BITS
+        halves = sum(estimate(p) for c in base for p in (c[:, :y], c[:, y:]))
+        regions = np.repeat((np.arange(shape[0]) >= upper).astype(np.int64)[:, None], shape[1], 1)
+        for k in np.flatnonzero(halves + 500 < bits).tolist():
+            others[k].append((*items[k][:4], regions))
     colours = pixels_of(planes, 255)
     ordered = np.sort(colours.reshape(n, -1), axis=1)
     new = np.append(np.ones((n, 1), bool), ordered[:, 1:] != ordered[:, :-1], axis=1)
@@ -636,7 +658,7 @@ def in_step(files: list[bytes]) -> list[np.ndarray | None]:
         across = np.where(table, extra, -(-width[live] >> extra))
         down = np.where(table, 1, -(-height[live] >> extra))
         own = bits.of(live[imaged])
-        found = iter(read_images(own, across[imaged], down[imaged], False))
+        found = iter(read_images(own, across[imaged], down[imaged]))
         bits.at[live[imaged]] = own.at
         for k, what, size in zip(live.tolist(), kind.tolist(), extra.tolist()):
             image = next(found) if what != webp.SUBTRACT else None
@@ -707,8 +729,8 @@ def unpredicted(images: list[np.ndarray], modes: list[np.ndarray]) -> list[np.nd
     return out
 
 
-def read_images(bits: Readers, width: np.ndarray, height: np.ndarray, top: bool) -> list[np.ndarray | None]:
-    """The (height, width) 32-bit numbers that come next in each stream; None for those with several groups of codes, or codes over LIMIT. top: the files' own images."""
+def read_images(bits: Readers, width: np.ndarray, height: np.ndarray, top: bool = False) -> list[np.ndarray | None]:
+    """The (height, width) 32-bit numbers that come next in each stream; None for those with over GROUPS groups of codes, or codes over LIMIT. top: the files' own images."""
     n = len(width)
     out: list = [None] * n
     if not n:
@@ -717,18 +739,41 @@ def read_images(bits: Readers, width: np.ndarray, height: np.ndarray, top: bool)
     cache_bits = np.zeros(n, np.int64)
     cached = np.flatnonzero(bits.read(rows, 1) == 1)
     cache_bits[cached] = bits.read(cached, 4)
-    rows = np.argsort(-width * height, kind="stable")  # the largest first
+    regions, groups, good = {}, np.ones(n, np.int64), np.ones(n, bool)
     if top:
-        rows = rows[bits.read(rows, 1) == 0]
-    if not len(rows):
-        return out
+        split = np.flatnonzero(bits.read(rows, 1) == 1)
+        block = bits.read(split, 3) + 2
+        own = bits.of(split)
+        for k, b, image in zip(split.tolist(), block.tolist(), read_images(own, -(-width[split] >> block), -(-height[split] >> block))):
+            if image is None:
+                good[k] = False
+                continue
+            parts = (image >> np.uint32(8) & np.uint32(0xFFFF)).astype(np.int64)
+            groups[k] = parts.max() + 1
+            regions[k] = np.repeat(np.repeat(parts, 1 << b, 0), 1 << b, 1)[: height[k], : width[k]].ravel()
+        bits.at[split] = own.at
+        good &= groups <= GROUPS
+    rows = np.argsort(-width * height, kind="stable")  # the largest first
+    rows = rows[good[rows]]
     slots_of = np.where(cache_bits > 0, 1 << cache_bits, 0)
-    found = [read_codes(bits, rows, a) for a in (GREEN + slots_of[rows], *[np.full(len(rows), k) for k in (256, 256, 256, webp.DISTANCES)])]
-    good = np.max([lengths.max(axis=1) for lengths, _ in found], axis=0) <= LIMIT
+    alphabets = GREEN + int(slots_of.max()), 256, 256, 256, webp.DISTANCES
+    first = np.cumsum(groups[rows]) - groups[rows]
+    total_codes = int(groups[rows].sum())
+    found = [(np.zeros((total_codes, a), np.int64), np.zeros(total_codes, np.int64)) for a in alphabets]
+    for g in range(int(groups[rows].max(initial=0))):
+        having = np.flatnonzero(groups[rows] > g)
+        for k, (lengths, only) in enumerate(found):
+            a = GREEN + slots_of[rows[having]] if k == 0 else np.full(len(having), alphabets[k])
+            got, alone = read_codes(bits, rows[having], a)
+            lengths[first[having] + g, : got.shape[1]], only[first[having] + g] = got, alone
+    short = np.max([lengths.max(axis=1, initial=0) for lengths, _ in found], axis=0) <= LIMIT
+    good = np.logical_and.reduceat(short, first) if len(rows) else np.zeros(0, bool)
+    some = np.repeat(good, groups[rows])
     rows = rows[good]
     if not len(rows):
         return out
-    tables = [table_of(lengths[good], only[good], LIMIT).ravel() for lengths, only in found]
+    tables = [table_of(lengths[some], only[some], LIMIT).ravel() for lengths, only in found]
+    first = np.cumsum(groups[rows]) - groups[rows]
     outer, bits = bits, bits.of(rows)
     width, height = width[rows], height[rows]
     cache_bits, total, m = cache_bits[rows], width * height, len(rows)
@@ -736,7 +781,11 @@ def read_images(bits: Readers, width: np.ndarray, height: np.ndarray, top: bool)
     cache = np.zeros((m, int(slots_of[rows].max()) or 1), np.uint32)
     with_cache = np.flatnonzero(cache_bits)
     shift = (32 - cache_bits).astype(np.uint32)
-    base = np.arange(m) * SLOTS
+    # The codes that hold at each place, where they change.
+    several = np.flatnonzero(groups[rows] > 1)
+    codes, parts = first, np.zeros((len(pixels), len(several)), np.int64)
+    for j, k in enumerate(several.tolist()):
+        parts[: total[k], j] = regions[int(rows[k])]
     pending, distance = np.zeros(m, np.int64), np.ones(m, np.int64)
     near_x, near_y = np.array(webp.NEAR).T
     active = len(total) - np.searchsorted(total[::-1], np.arange(len(pixels)), "right")  # the largest are first
@@ -747,11 +796,14 @@ def read_images(bits: Readers, width: np.ndarray, height: np.ndarray, top: bool)
 
     at, last = bits.at, np.uint64(SLOTS - 1)
     # Codes without bits need no look-up.
-    fixed = [np.uint32(t[::SLOTS] >> 4) if not (t[::SLOTS] & 15).any() and (t.reshape(m, SLOTS) == t[::SLOTS, None]).all() else None for t in tables]
+    fixed = [np.uint32(t[::SLOTS] >> 4) if not (t[::SLOTS] & 15).any() and (t.reshape(-1, SLOTS) == t[::SLOTS, None]).all() else None for t in tables]
     copying = False
     for t, k in enumerate(active.tolist()):
+        if len(several):
+            codes = first.copy()
+            codes[several] += parts[t]
         line = pixels[t, :k]
-        here, own = at[:k], base[:k]
+        here, own = at[:k], codes[:k] * SLOTS
         w = bits.words[here >> 3] >> (here & 7).astype(np.uint64)
         e = tables[0].take((w & last).astype(np.int64) + own)
         s, moved = e >> 4, e & 15
@@ -759,7 +811,7 @@ def read_images(bits: Readers, width: np.ndarray, height: np.ndarray, top: bool)
         green_bits = moved
         for table, same, left in ((tables[1], fixed[1], 16), (tables[2], fixed[2], 0), (tables[3], fixed[3], 24)):
             if same is not None:
-                value |= same[:k] << np.uint32(left)
+                value |= same[codes[:k]] << np.uint32(left)
                 continue
             e = table.take((w >> moved.astype(np.uint64) & last).astype(np.int64) + own)
             moved = moved + (e & 15)
@@ -784,7 +836,7 @@ def read_images(bits: Readers, width: np.ndarray, height: np.ndarray, top: bool)
                 r = r[~held]
             if len(r):
                 pending[r] = amounts(r, s[r] - webp.LITERALS)
-                e = tables[4].take((bits.peek(r) & (SLOTS - 1)) + base[r])
+                e = tables[4].take((bits.peek(r) & (SLOTS - 1)) + own[r])
                 at[r] += e & 15
                 d = amounts(r, e >> 4)
                 close = np.minimum(d, len(webp.NEAR)) - 1

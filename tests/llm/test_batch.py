@@ -167,3 +167,18 @@ def test_codes_are_huffmans():
         want = webp.code_lengths(c.tolist(), 60) if (c > 0).sum() > 1 else None
         if want and max(want) <= batch.LIMIT:
             assert (c * l).sum() == (c * np.array(want)).sum()
+
+
+def test_regions_are_chosen():
+    """Halves of different colours have codes of their own, and come from the batch's own decoder."""
+    rng = np.random.default_rng(3)
+    strip = np.concatenate([rng.integers(0, 16, (24, 192, 3)) + start for start in ((0, 100, 200), (200, 0, 100))]).astype(np.uint8)
+    one, two = batch.encode([strip[:24], strip])
+    assert webp.BitReader(two[25:]).read(3) == 0b100  # no transform, no cache, regions
+    for s, f, got in zip([strip, strip[:24], strip], [two, one, two], batch.in_step([two, one, two])):
+        assert (got[..., 1:] == s).all() and (webp.decode(f) == got).all()
+    plain = batch.coded(batch.looked_at(np.ascontiguousarray(strip.transpose(2, 0, 1))[:, None])[0])[0]
+    assert len(two) < len(plain)
+    files = [webp.encode(image("few", 9 + k, 21), region_bits=2, cache_bits=3) for k in range(4)]
+    for k, got in enumerate(batch.in_step(files)):
+        assert (got == image("few", 9 + k, 21)).all()
