@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 
 
@@ -367,37 +370,84 @@ def pca(x: np.ndarray, ncomp: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x @ load, load, values / max(1, x.shape[0] - 1)
 
 
+#: Values of a line that are in work at once, and rows that tell where its median lies.
+LINE, TOLD = 1 << 17, 1 << 12
+
+
+def _middle(n: int, part, told: np.ndarray) -> float:
+    """The median of n values, exactly. part(i, j): values i to j, made anew at each call; told: some of them.
+
+    The values told give bounds that the median most likely lies between; only those between them are sorted. If it
+    does not, all are.
+    """
+    told, reach = np.sort(told), 2 * int(len(told) ** 0.5)
+    lo, hi = told[max(0, len(told) // 2 - reach)], told[min(len(told) - 1, len(told) // 2 + reach)]
+    below, between = 0, []
+    for i in range(0, n, LINE):
+        v = part(i, i + LINE)
+        over = v >= lo
+        below += len(v) - np.count_nonzero(over)
+        over &= v <= hi
+        between.append(v[over])
+    v, a, b = np.concatenate(between), (n - 1) // 2 - below, n // 2 - below
+    if a < 0 or b >= len(v):
+        return float(np.median(np.concatenate([part(i, i + LINE) for i in range(0, n, LINE)])))
+    v = np.partition(v, (a, b))
+    return float((v[a] + v[b]) / 2)
+
+
+def turned_mads(base: np.ndarray, unit: np.ndarray, angles: np.ndarray, pool: ThreadPoolExecutor | None = None) -> np.ndarray:
+    """The median absolute deviation of cos(angle) * base + sin(angle) * unit for each angle; angles side by side, each a stretch of rows at a time."""
+    n, step = len(base), max(1, len(base) // TOLD)
+    some = base[::step], unit[::step]
+
+    def one(at):
+        c, s = at
+        line = lambda i, j: c * base[i:j] + s * unit[i:j]
+        told = c * some[0] + s * some[1]
+        middle = _middle(n, line, told)
+        return 1.4826 * _middle(n, lambda i, j: np.abs(line(i, j) - middle), np.abs(told - middle))
+
+    return np.array(list((pool.map if pool else map)(one, zip(np.cos(angles), np.sin(angles)))))
+
+
 def robust_pca(x: np.ndarray, ncomp: int, angles: int = 25, rounds: int = 10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Projection pursuit for the largest median absolute deviation, on a grid of angles in coordinate planes, narrowed round by round; inside the span of the samples."""
     x = x - np.median(x, 0)
     _, s, v = np.linalg.svd(x, full_matrices=False)
     v = v[s > 1e-10 * max(s[0], 1e-300)] if len(s) else v
     z, basis = x @ v.T, np.eye(len(v))
-    mad = lambda a: 1.4826 * np.median(np.abs(a - np.median(a, 0)), 0)
+    none, zero = np.zeros(1), np.zeros(len(x))
+    mad = lambda a: turned_mads(a, zero, none)[0]
     loads, var = [], []
-    for _ in range(min(ncomp, len(v))):
-        q = z @ basis
-        order = np.argsort(mad(q))[::-1]
-        a = np.zeros(q.shape[1])
-        a[order[0]] = 1
-        for r in range(rounds):
-            grid = np.linspace(-np.pi / 2, np.pi / 2, angles) / 2**r
-            for k in order:
-                base, unit = q @ a, q[:, k]
-                scale = mad(np.cos(grid) * base[:, None] + np.sin(grid) * unit[:, None])
-                g = grid[int(np.argmax(scale))]
-                new = np.cos(g) * a
-                new[k] += np.sin(g)
-                size = np.linalg.norm(new)
-                if size > 1e-12 and mad(q @ (new / size)) > mad(q @ a):
-                    a = new / size
-        full = basis @ a
-        loads.append(full)
-        var.append(float(mad(z @ full)) ** 2)
-        u, sv, _ = np.linalg.svd(np.eye(len(v)) - np.array(loads).T @ np.array(loads))
-        basis = u[:, sv > 0.5]
-        if not basis.shape[1]:
-            break
+    threads = min(4, len(os.sched_getaffinity(0)), len(x) // 50_000)  # more are in each other's way, and on few rows any
+    with ThreadPoolExecutor(max(1, threads)) as pool:
+        pool = pool if threads > 1 else None
+        for _ in range(min(ncomp, len(v))):
+            q = z @ basis
+            columns = np.ascontiguousarray(q.T)
+            order = np.argsort(np.array([mad(c) for c in columns]))[::-1]
+            a = np.zeros(q.shape[1])
+            a[order[0]] = 1
+            base, now = q @ a, mad(q @ a)
+            for r in range(rounds):
+                grid = np.linspace(-np.pi / 2, np.pi / 2, angles) / 2**r
+                for k in order:
+                    g = grid[int(np.argmax(turned_mads(base, columns[k], grid, pool)))]
+                    new = np.cos(g) * a
+                    new[k] += np.sin(g)
+                    size = np.linalg.norm(new)
+                    if size > 1e-12:
+                        line = q @ (new / size)
+                        if (then := mad(line)) > now:
+                            a, base, now = new / size, line, then
+            full = basis @ a
+            loads.append(full)
+            var.append(mad(z @ full) ** 2)
+            u, sv, _ = np.linalg.svd(np.eye(len(v)) - np.array(loads).T @ np.array(loads))
+            basis = u[:, sv > 0.5]
+            if not basis.shape[1]:
+                break
     load = v.T @ np.array(loads).T
     return x @ load, load, np.array(var)
 

@@ -11,6 +11,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -238,8 +239,12 @@ def matrix(spectra: DataFrame, *more: str) -> tuple[pd.DataFrame, np.ndarray]:
     size = spectra.agg(F.sum(F.size("intensity"))).first()[0] or 0
     if size > MATRIX:
         raise ValueError(f"{size} values; a model takes at most {MATRIX}")
-    pdf = spectra.select(SAMPLE, "intensity", *more).orderBy(SAMPLE).toPandas()
-    return pdf.drop(columns="intensity"), np.array(pdf["intensity"].tolist(), float)
+    table = spectra.select(SAMPLE, "intensity", *more).orderBy(SAMPLE).toArrow()
+    arrays, meta = table.column("intensity"), table.drop_columns("intensity").to_pandas()
+    del table
+    if arrays.null_count or len(set(pc.unique(pc.list_value_length(arrays)).to_pylist())) > 1:
+        raise ValueError("the samples have not as many points each")
+    return meta, np.concatenate([pc.list_flatten(a).to_numpy(zero_copy_only=False) for a in arrays.chunks] or [np.empty(0)]).astype(float, copy=False).reshape(len(meta), -1 if len(meta) else 0)
 
 
 def pca_scores(spectra: DataFrame, ncomp: int) -> DataFrame:
