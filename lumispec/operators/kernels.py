@@ -95,32 +95,58 @@ def lorentz(x, x0, gamma, area):
 
 def fit_lorentz(x: np.ndarray, y: np.ndarray, x0: float, gamma: float, area: float, steps: int = 60) -> tuple[float, float, float, bool]:
     """Levenberg-Marquardt on (x0, gamma, area); the start is kept if it does not improve. (x0, gamma, area, improved)."""
-    p, damp = np.array([x0, gamma, area], float), 1e-3
-    cost = lambda q: float(((lorentz(x, *q) - y) ** 2).sum())
-    start = now = cost(p)
-    for _ in range(steps):
-        d, g = x - p[0], p[1]
-        q = d * d + g * g
-        j = np.stack([p[2] / np.pi * g * 2 * d / q**2, p[2] / np.pi * (d * d - g * g) / q**2, g / np.pi / q], 1)
-        r = y - lorentz(x, *p)
-        a = j.T @ j
-        try:
-            step = np.linalg.solve(a + damp * np.diag(np.diag(a) + 1e-300), j.T @ r)
-        except np.linalg.LinAlgError:
-            break
-        new = cost(p + step)
-        if np.isfinite(new) and new < now:
-            done = now - new < 1e-14 * max(now, 1e-300)
-            p, now, damp = p + step, new, damp / 10
-            if done:
-                break
-        else:
-            damp *= 10
-            if damp > 1e12:
+    p, good = fit_lorentzians(np.asarray(x, float)[None], np.asarray(y, float)[None], np.array([[x0, gamma, area]], float), steps)
+    return (*p[0].tolist(), bool(good[0]))
+
+
+def fit_lorentzians(x: np.ndarray, y: np.ndarray, start: np.ndarray, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """fit_lorentz() for many peaks of as many points each, side by side, each with its own damping and end: x, y (peaks, points), start (peaks, 3). (parameters, improved)."""
+
+    def cost(q, k):
+        return ((lorentz(x[k], q[:, :1], q[:, 1:2], q[:, 2:]) - y[k]) ** 2).sum(1)
+
+    with np.errstate(all="ignore"):
+        p, damp, live = start.copy(), np.full(len(x), 1e-3), np.arange(len(x))
+        first = cost(p, live)
+        now = first.copy()
+        for _ in range(steps):
+            if not len(live):
                 break
-    if p[1] < 0 and p[2] < 0:
-        p[1:] = -p[1:]
-    return (*p.tolist(), now < start) if now < start and p[1] > 0 else (x0, gamma, area, False)
+            q, (x0, g, area) = p[live], p[live].T[:, :, None]
+            d = x[live] - x0
+            s = d * d + g * g
+            j = np.stack([area / np.pi * g * 2 * d / s**2, area / np.pi * (d * d - g * g) / s**2, g / np.pi / s], 2)
+            r = y[live] - lorentz(x[live], x0, g, area)
+            jt = j.transpose(0, 2, 1)
+            a, b = jt @ j, (jt @ r[:, :, None])[:, :, 0]
+            diagonal = a[:, [0, 1, 2], [0, 1, 2]]
+            a[:, [0, 1, 2], [0, 1, 2]] = diagonal + damp[live, None] * (diagonal + 1e-300)
+            step, solved = _solved(a, b)
+            new = cost(q + step, live)
+            better = solved & np.isfinite(new) & (new < now[live])
+            done = better & (now[live] - new < 1e-14 * np.maximum(now[live], 1e-300))
+            up, down = live[better], live[~better]
+            p[up], now[up], damp[up] = (q + step)[better], new[better], damp[up] / 10
+            damp[down] *= 10
+            live = live[solved & ~done & (better | (damp[live] <= 1e12))]
+    turn = (p[:, 1] < 0) & (p[:, 2] < 0)
+    p[turn, 1:] = -p[turn, 1:]
+    good = (now < first) & (p[:, 1] > 0)
+    return np.where(good[:, None], p, start), good
+
+
+def _solved(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Solutions of a stack of systems, and which of them have one."""
+    try:
+        return np.linalg.solve(a, b[:, :, None])[:, :, 0], np.ones(len(a), bool)
+    except np.linalg.LinAlgError:  # one of them is singular
+        out, good = np.zeros(b.shape), np.ones(len(a), bool)
+        for k in range(len(a)):
+            try:
+                out[k] = np.linalg.solve(a[k], b[k])
+            except np.linalg.LinAlgError:
+                good[k] = False
+        return out, good
 
 
 def ricker(width: int, scale: float) -> np.ndarray:

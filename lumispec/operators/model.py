@@ -21,6 +21,8 @@ from .spectra import SAMPLE
 
 #: Slices of a range of values that are sorted each by itself.
 SLICES = 4096
+#: Samples that a kernel takes at once, and values of its results that a worker holds.
+ROWS, VALUES = 512, 1 << 17
 #: Samples times positions that one model may take.
 MATRIX = 50_000_000
 
@@ -135,10 +137,26 @@ def in_all(df: DataFrame, feature: str, fold: str, n: int) -> DataFrame:
 
 
 def _each(spectra: DataFrame, schema: str, f) -> DataFrame:
+    """f(row) -> rows; a frame is given out for ROWS rows, or sooner, once theirs hold VALUES values, however large Spark's batches are."""
+    return _several(spectra, schema, lambda rows: (r for row in rows for r in f(row)))
+
+
+def _several(spectra: DataFrame, schema: str, f) -> DataFrame:
+    """_each() with f(rows of at most ROWS samples) -> rows."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
     def run(batches):
         for pdf in batches:
-            rows = [r for row in pdf.itertuples(index=False) for r in f(row)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+            for start in range(0, len(pdf), ROWS):
+                out, held = [], 0
+                for r in f(list(pdf.iloc[start : start + ROWS].itertuples(index=False))):
+                    out.append(r)
+                    held += sum(len(v) if isinstance(v, (list, np.ndarray)) else 1 for v in r)
+                    if held >= VALUES:
+                        yield pd.DataFrame(out, columns=names)
+                        out, held = [], 0
+                if out:
+                    yield pd.DataFrame(out, columns=names)
 
     return spectra.mapInPandas(run, schema)
 
@@ -180,7 +198,7 @@ def interpolate(spectra: DataFrame, axis: tuple | None = None) -> DataFrame:
 
     def one(row):
         y = kernels.spline(np.asarray(row.ppm, float), np.asarray(row.intensity, float), at)
-        return [(row.sample_id, at.tolist(), [None if np.isnan(v) else float(v) for v in y])]
+        return [(row.sample_id, at.tolist(), [None if v != v else v for v in y.tolist()])]
 
     return _each(spectra.select(SAMPLE, "ppm", "intensity"), f"{SAMPLE} {_id_type(spectra)}, ppm array<double>, intensity array<double>", one)
 
@@ -196,23 +214,30 @@ def detect(spectra: DataFrame, snr: float = 3.0, least: float = -np.inf) -> Data
 
 
 def refine(spectra: DataFrame, peaks: DataFrame) -> DataFrame:
-    """(sample_id, pos, ppm, gamma_ppb, area, norm_rmse, refined): peaks fitted between their bounds, each sample's in one call."""
+    """(sample_id, pos, ppm, gamma_ppb, area, norm_rmse, refined): peaks fitted between their bounds, those of ROWS samples side by side, by their number of points."""
     lists = peaks.groupBy(SAMPLE).agg(F.sort_array(F.collect_list(F.struct("pos", "ppm", "gamma_ppb", "area", "ppm_infl_min", "ppm_infl_max"))).alias("peaks"))
 
-    def one(row):
-        x, y, out = np.asarray(row.ppm, float), np.asarray(row.intensity, float), []
-        for p in row.peaks:
-            part = (x >= p["ppm_infl_min"]) & (x <= p["ppm_infl_max"])
-            if part.sum() < 4:
-                part[max(0, p["pos"] - 2) : p["pos"] + 3] = True
-            x0, g, a, good = kernels.fit_lorentz(x[part], y[part], p["ppm"], p["gamma_ppb"] / 1000, p["area"])
-            f, o = kernels.lorentz(x[part], x0, g, a), y[part]
-            top = int(np.argmax(o))
-            error = float(np.sqrt((((o - o[top]) - (f - f[top])) ** 2).mean()) / (np.ptp(o) or 1))
-            out.append((row.sample_id, int(p["pos"]), float(x0), 1000 * float(g), float(a), error, bool(good)))
-        return out
-
-    return _each(spectra.join(lists, SAMPLE), f"{SAMPLE} {_id_type(spectra)}, pos int, ppm double, gamma_ppb double, area double, norm_rmse double, refined boolean", one)
+    def some(rows):
+        by = {}
+        for row in rows:
+            x, y = np.asarray(row.ppm, float), np.asarray(row.intensity, float)
+            for p in row.peaks:
+                part = (x >= p["ppm_infl_min"]) & (x <= p["ppm_infl_max"])
+                if (n := part.sum()) < 4:
+                    part[max(0, p["pos"] - 2) : p["pos"] + 3] = True
+                    n = part.sum()
+                by.setdefault(int(n), []).append((row.sample_id, p["pos"], x[part], y[part], (p["ppm"], p["gamma_ppb"] / 1000, p["area"])))
+        for group in by.values():
+            ids, at, x, o, start = zip(*group)
+            x, o = np.array(x), np.array(o)
+            p, good = kernels.fit_lorentzians(x, o, np.array(start, float))
+            f, top = kernels.lorentz(x, p[:, :1], p[:, 1:2], p[:, 2:]), o.argmax(1)[:, None]
+            off = (o - np.take_along_axis(o, top, 1)) - (f - np.take_along_axis(f, top, 1))
+            reach = np.ptp(o, axis=1)
+            error = np.sqrt((off**2).mean(1)) / np.where(reach == 0, 1, reach)
+            yield from zip(ids, map(int, at), p[:, 0].tolist(), (1000 * p[:, 1]).tolist(), p[:, 2].tolist(), error.tolist(), good.tolist())
+
+    return _several(spectra.join(lists, SAMPLE), f"{SAMPLE} {_id_type(spectra)}, pos int, ppm double, gamma_ppb double, area double, norm_rmse double, refined boolean", some)
 
 
 def align(spectra: DataFrame, positions: DataFrame, reference, most: int | None = None, most_ppm: float = 0.0015) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumispec.functions import rounded
-from lumispec.operators import kernels, peaks
+from lumispec.operators import kernels, model, peaks
 
 
 def test_distances_of_crowded_peaks_are_dealt_out(spark):
@@ -56,3 +56,51 @@ def test_robust_pca_sorts_no_whole_table(monkeypatch):
     monkeypatch.setattr(kernels.np, "partition", lambda v, *more: sizes.append(len(v)) or real(v, *more))
     kernels.robust_pca(np.random.default_rng(0).normal(size=(60_000, 3)), 1)
     assert sizes and np.mean(sizes) < 0.2 * 60_000
+
+
+def plain_fit(x, y, x0, gamma, area, steps=60):
+    """One peak by itself."""
+    p, damp = np.array([x0, gamma, area], float), 1e-3
+    start = now = ((kernels.lorentz(x, *p) - y) ** 2).sum()
+    for _ in range(steps):
+        d, g = x - p[0], p[1]
+        q = d * d + g * g
+        j = np.stack([p[2] / np.pi * g * 2 * d / q**2, p[2] / np.pi * (d * d - g * g) / q**2, g / np.pi / q], 1)
+        a = j.T @ j
+        step = np.linalg.solve(a + damp * np.diag(np.diag(a) + 1e-300), j.T @ (y - kernels.lorentz(x, *p)))
+        new = ((kernels.lorentz(x, *(p + step)) - y) ** 2).sum()
+        if np.isfinite(new) and new < now:
+            done = now - new < 1e-14 * max(now, 1e-300)
+            p, now, damp = p + step, new, damp / 10
+            if done:
+                break
+        else:
+            damp *= 10
+            if damp > 1e12:
+                break
+    if p[1] < 0 and p[2] < 0:
+        p[1:] = -p[1:]
+    return (p, True) if now < start and p[1] > 0 else (np.array([x0, gamma, area]), False)
+
+
+def test_fits_side_by_side_are_those_of_each(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.sort(rng.random((400, 6)), 1)
+    y = kernels.lorentz(x, rng.random((400, 1)), 0.1 + rng.random((400, 1)), 1 + rng.random((400, 1))) + 0.05 * rng.normal(size=(400, 6))
+    start = np.column_stack([x[:, 3], 0.1 + rng.random(400), 1 + rng.random(400)])
+    want = [plain_fit(a, b, *c) for a, b, c in zip(x, y, start)]
+    calls, real = [], np.linalg.solve
+    monkeypatch.setattr(np.linalg, "solve", lambda *a: calls.append(1) or real(*a))
+    p, good = kernels.fit_lorentzians(x, y, start)
+    assert good.tolist() == [g for _, g in want] and 0 < len(calls) <= 60  # not 400 times as many
+    near = np.array([np.allclose(a, b, rtol=1e-6) for a, (b, _) in zip(p, want)])
+    assert near.mean() > 0.98  # the others wander along a valley and end elsewhere in it, by the last bits
+    cost = lambda q: ((kernels.lorentz(x, q[:, :1], q[:, 1:2], q[:, 2:]) - y) ** 2).sum(1)
+    assert np.allclose(cost(p), cost(np.array([b for b, _ in want])), rtol=1e-3)
+
+
+def test_one_singular_fit_leaves_the_others():
+    x = np.tile(np.arange(5.0), (2, 1))
+    y = kernels.lorentz(x, 2.1, 1.0, 3.0)
+    p, good = kernels.fit_lorentzians(x, y, np.array([[2.0, 0.0, 0.0], [2.0, 0.8, 2.0]]))
+    assert good.tolist() == [False, True] and p[0].tolist() == [2.0, 0.0, 0.0] and np.allclose(p[1], [2.1, 1, 3])
