@@ -196,9 +196,11 @@ def interpolate(spectra: DataFrame, axis: tuple | None = None) -> DataFrame:
         raise ValueError("the samples have no axis in common")
     at = lo + by * np.arange(int(np.floor((hi - lo) / by + 1e-9)) + 1)
 
+    axis = at.tolist()
+
     def one(row):
         y = kernels.spline(np.asarray(row.ppm, float), np.asarray(row.intensity, float), at)
-        return [(row.sample_id, at.tolist(), [None if v != v else v for v in y.tolist()])]
+        return [(row.sample_id, axis, [None if v != v else v for v in y.tolist()])]
 
     return _each(spectra.select(SAMPLE, "ppm", "intensity"), f"{SAMPLE} {_id_type(spectra)}, ppm array<double>, intensity array<double>", one)
 

@@ -104,3 +104,20 @@ def test_one_singular_fit_leaves_the_others():
     y = kernels.lorentz(x, 2.1, 1.0, 3.0)
     p, good = kernels.fit_lorentzians(x, y, np.array([[2.0, 0.0, 0.0], [2.0, 0.8, 2.0]]))
     assert good.tolist() == [False, True] and p[0].tolist() == [2.0, 0.0, 0.0] and np.allclose(p[1], [2.1, 1, 3])
+
+
+def test_kernels_by_sample_hold_few_rows(spark):
+    """What a worker gives out at once does not grow with the batches that it gets."""
+    df = spark.createDataFrame([(k, [0.0, 1.0, 2.0, 3.0], [1.0, 2.0, 4.0, float(k)]) for k in range(2000)], "sample_id int, ppm array<double>, intensity array<double>").coalesce(1)
+    sizes = []
+
+    def counted(self, run, schema):
+        sizes.extend(len(out) for out in run(iter([df.toPandas()])))
+        return self
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(df), "mapInPandas", counted)
+        model.interpolate(df, (0.0, 3.0, 0.01))
+    assert sum(sizes) == 2000 and max(sizes) <= model.ROWS and max(sizes) * 602 < 1.1 * model.VALUES
+    rows = model.interpolate(df, (-1.0, 3.0, 1.0)).collect()
+    assert sorted(r.sample_id for r in rows) == list(range(2000)) and {r.intensity[0] for r in rows} == {None} and all(abs(r.intensity[4] - r.sample_id) < 1e-6 for r in rows)
