@@ -39,7 +39,7 @@ def plsda_method(ncomp: int = 5, least: float = 0.05, multilevel: bool = False)
         if multilevel:
             x = x.copy()
             x[mask], x[~mask] = within(x[mask], identity[mask]), within(x[~mask], identity[~mask])
-        m = kernels.pls(x[mask], model._one_hot(y[mask])[1], most)
+        m = kernels.pls_of_rows(x, mask, model._one_hot(y[mask])[1], most)
         importance = kernels.vip(m)
         return [(k + 1, a, importance[:, k].tolist()) for k, a in enumerate(model._aucs(x, y, mask, most))]
 
@@ -73,7 +73,7 @@ def double_cv(data: DataFrame, y: str, identity: str = SAMPLE, outer: int = 3, i
             for o, i, most in zip(pdf["outer"], pdf["inner"], pdf["ncomp"]):
                 role = masks[o, i]
                 use = role != ""
-                rows += [(o, i, *r) for r in method.train(x[use], labels[use], ids[use], role[use] == "train", int(most))]
+                rows += [(o, i, *r) for r in method.train(*(v if use.all() else v[use] for v in (x, labels, ids)), role[use] == "train", int(most))]
             yield pd.DataFrame(rows, columns=["outer", "inner", "ncomp", "auc", "vip"])
 
     schema = "outer int, inner int, ncomp int, auc double, vip array<double>"

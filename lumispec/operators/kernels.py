@@ -286,20 +286,7 @@ def pls(x: np.ndarray, y: np.ndarray, ncomp: int, steps: int = 200) -> dict[str,
     t_all, w_all, p_all, c_all, coefs = [], [], [], [], []
     for _ in range(min(ncomp, x.shape[0] - 1, x.shape[1])):
         # The steps need no sample: with u = f c and t = e w, what they take of e and f is in these two products.
-        ef, ee = e.T @ f, e.T @ e
-        first, w = ef[:, int(np.argmax((f * f).sum(0)))], np.zeros(x.shape[1])
-        for _ in range(steps):
-            new = first
-            size = np.linalg.norm(new)
-            if size < 1e-12:
-                break
-            new = new / size
-            c = ef.T @ new / (new @ ee @ new)
-            first = ef @ c / max(c @ c, 1e-300)
-            if np.linalg.norm(new - w) < 1e-10:
-                w = new
-                break
-            w = new
+        w = _weight(e.T @ e, e.T @ f, int(np.argmax((f * f).sum(0))), steps)
         if not w.any():
             break
         t = e @ w
@@ -312,35 +299,105 @@ def pls(x: np.ndarray, y: np.ndarray, ncomp: int, steps: int = 200) -> dict[str,
     return {"scores": np.array(t_all).T, "weights": np.array(w_all).T, "loadings": np.array(p_all).T, "c": np.array(c_all).T, "coefs": np.array(coefs), "mx": mx, "sx": sx, "my": my, "sy": sy}
 
 
+def pls_of_rows(x: np.ndarray, use: np.ndarray, y: np.ndarray, ncomp: int, steps: int = 200) -> dict[str, np.ndarray]:
+    """pls() of x[use] and y, without the scores but with their squares' sums, tt: x is read in stretches of rows and never copied."""
+    n = int(use.sum())
+    mx = sum((part.sum(0) for part in stretches(x, use)), np.zeros(x.shape[1])) / n
+    sx = np.sqrt(sum((((part - mx) ** 2).sum(0) for part in stretches(x, use)), np.zeros(x.shape[1])) / max(1, n - 1))
+    my, sy = y.mean(0), y.std(0, ddof=1)
+    sx, sy = np.where(sx > 0, sx, 1.0), np.where(sy > 0, sy, 1.0)
+    f = (y - my) / sy
+    ff, ee, ef, at = (f * f).sum(0), np.zeros((x.shape[1],) * 2), np.zeros((x.shape[1], y.shape[1])), 0
+    for part in stretches(x, use):
+        part = (part - mx) / sx
+        ee += part.T @ part
+        ef += part.T @ f[at : at + len(part)]
+        at += len(part)
+    del f
+    w_all, p_all, c_all, tt_all, coefs = [], [], [], [], []
+    for _ in range(min(ncomp, n - 1, x.shape[1])):
+        w = _weight(ee, ef, int(np.argmax(ff)), steps)
+        if not w.any():
+            break
+        tt = w @ ee @ w
+        p, c = ee @ w / tt, ef.T @ w / tt
+        ee, ef, ff = ee - tt * np.outer(p, p), ef - tt * np.outer(p, c), ff - tt * c * c
+        for to, v in ((w_all, w), (p_all, p), (c_all, c), (tt_all, tt)):
+            to.append(v)
+        wm, pm, cm = np.array(w_all).T, np.array(p_all).T, np.array(c_all).T
+        coefs.append(wm @ np.linalg.pinv(pm.T @ wm) @ cm.T)
+    return {"tt": np.array(tt_all), "weights": np.array(w_all).T, "loadings": np.array(p_all).T, "c": np.array(c_all).T, "coefs": np.array(coefs), "mx": mx, "sx": sx, "my": my, "sy": sy}
+
+
+#: Rows that are in work at once where a matrix is read in stretches.
+ROWS = 1 << 13
+
+
+def stretches(x: np.ndarray, use: np.ndarray):
+    """x[use], ROWS rows of x at a time."""
+    for i in range(0, len(x), ROWS):
+        yield x[i : i + ROWS][use[i : i + ROWS]]
+
+
+def _weight(ee: np.ndarray, ef: np.ndarray, start: int, steps: int) -> np.ndarray:
+    """The weight of a component, by steps from a column of x'y; zeros if there is none."""
+    first, w = ef[:, start], np.zeros(len(ee))
+    for _ in range(steps):
+        new = first
+        size = np.linalg.norm(new)
+        if size < 1e-12:
+            break
+        new = new / size
+        c = ef.T @ new / (new @ ee @ new)
+        first = ef @ c / max(c @ c, 1e-300)
+        if np.linalg.norm(new - w) < 1e-10:
+            return new
+        w = new
+    return w
+
+
 def pls_predict(m: dict[str, np.ndarray], x: np.ndarray, ncomp: int) -> np.ndarray:
     return ((x - m["mx"]) / m["sx"]) @ m["coefs"][ncomp - 1] * m["sy"] + m["my"]
 
 
 def vip(m: dict[str, np.ndarray]) -> np.ndarray:
     """(features, components): importance of each feature in the first h components."""
-    t, w, c = m["scores"], m["weights"], m["c"]
-    r2 = (t * t).sum(0) * (c * c).sum(0)
+    w, c = m["weights"], m["c"]
+    r2 = (m["tt"] if "tt" in m else (m["scores"] ** 2).sum(0)) * (c * c).sum(0)
     total = np.cumsum(r2)
     return np.sqrt(len(w) * np.cumsum(r2 * w**2, axis=1) / total)
 
 
-def vip_drops(x: np.ndarray, y: np.ndarray, ncomp: int, rng: np.random.Generator, values: int = 1 << 22) -> np.ndarray:
-    """For each feature, its importance in the fit of all components less that after its column is shuffled.
+def vip_drops(x: np.ndarray, y: np.ndarray, ncomp: int, rng: np.random.Generator, values: int = 1 << 22, rows: np.ndarray | None = None) -> np.ndarray:
+    """For each feature, its importance in the fit of all components less that after its column is shuffled; rows: of these rows of x, in whose order y is.
 
     A fit needs no sample, only the products of scaled x and y; a shuffled column changes one row and column of them. So
-    the fits of many features go side by side, as many as give at most so many values.
+    the fits of many features go side by side, as many as give at most so many values. x[rows] is made in stretches only.
     """
-    n, width = x.shape
-    sx, sy = x.std(0, ddof=1), y.std(0, ddof=1)
-    e, f = (x - x.mean(0)) / np.where(sx > 0, sx, 1.0), (y - y.mean(0)) / np.where(sy > 0, sy, 1.0)
-    ee, ef = e.T @ e, e.T @ f
+    n, width = len(y), x.shape[1]
+    rows = np.arange(n) if rows is None else rows
+    cuts = [slice(i, i + ROWS) for i in range(0, n, ROWS)]
+    mx = sum((x[rows[c]].sum(0) for c in cuts), np.zeros(width)) / n
+    sx = np.sqrt(sum((((x[rows[c]] - mx) ** 2).sum(0) for c in cuts), np.zeros(width)) / max(1, n - 1))
+    sx, sy = np.where(sx > 0, sx, 1.0), y.std(0, ddof=1)
+    f = y - y.mean(0)
+    f /= np.where(sy > 0, sy, 1.0)
+    ee, ef = np.zeros((width, width)), np.zeros((width, f.shape[1]))
+    for c in cuts:
+        e = (x[rows[c]] - mx) / sx
+        ee += e.T @ e
+        ef += e.T @ f[c]
     count = min(ncomp, n - 1, width)
     base = _vip_of_products(ee[None].copy(), ef[None].copy(), count)[0]
-    out, block = np.empty(width), max(1, values // max(1, width * width, n))
+    out, block = np.empty(width), max(1, values // max(1, width * width, n // 2))
     for start in range(0, width, block):
         js = np.arange(start, min(width, start + block))
-        mixed = np.stack([rng.permutation(e[:, j]) for j in js], axis=1)
-        row, own, at = (e.T @ mixed).T, mixed.T @ f, np.arange(len(js))
+        mixed, row, at = np.empty((len(js), n)), np.zeros((len(js), width)), np.arange(len(js))
+        for k, j in enumerate(js):
+            mixed[k] = rng.permutation((x[rows, j] - mx[j]) / sx[j])
+        for c in cuts:
+            row += mixed[:, c] @ ((x[rows[c]] - mx) / sx)
+        own = mixed @ f
         row[at, js] = ee[js, js]
         products, sides = np.repeat(ee[None], len(js), 0), np.repeat(ef[None], len(js), 0)
         products[at, js], products[at, :, js], sides[at, js] = row, row, own
@@ -375,9 +432,9 @@ def auc(score: np.ndarray, positive: np.ndarray) -> float:
     order = np.argsort(score, kind="stable")
     ranks = np.empty(len(score))
     s = score[order]
-    edges = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-    for a, b in zip(edges, np.append(edges[1:], len(s))):
-        ranks[order[a:b]] = (a + b + 1) / 2
+    edges = np.flatnonzero(np.append(True, s[1:] != s[:-1])[: len(s)])
+    ends = np.append(edges[1:], len(s))[: len(edges)]
+    ranks[order] = np.repeat((edges + ends + 1) / 2, ends - edges)
     n1 = int(positive.sum())
     n0 = len(score) - n1
     return float("nan") if not n1 or not n0 else float((ranks[positive].sum() - n1 * (n1 + 1) / 2) / (n1 * n0))

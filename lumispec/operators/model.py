@@ -261,10 +261,10 @@ def align(spectra: DataFrame, positions: DataFrame, reference, most: int | None
 # Models
 
 
-def matrix(spectra: DataFrame, *more: str) -> tuple[pd.DataFrame, np.ndarray]:
-    """Metadata and matrix of a set of samples, in the order of their ids, if it has at most MATRIX values."""
+def matrix(spectra: DataFrame, *more: str, used: float = 1.0) -> tuple[pd.DataFrame, np.ndarray]:
+    """Metadata and matrix of a set of samples, in the order of their ids, if a model, which takes the share used of it, takes at most MATRIX values."""
     size = spectra.agg(F.sum(F.size("intensity"))).first()[0] or 0
-    if size > MATRIX:
+    if size * used > MATRIX:
         raise ValueError(f"{size} values; a model takes at most {MATRIX}")
     table = spectra.select(SAMPLE, "intensity", *more).orderBy(SAMPLE).toArrow()
     arrays, meta = table.column("intensity"), table.drop_columns("intensity").to_pandas()
@@ -326,11 +326,16 @@ def _one_hot(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _aucs(x, y, train, ncomp) -> list[float]:
     """The mean one-against-rest AUC on the test samples, for each number of components."""
-    names, hot = _one_hot(y)
-    m = kernels.pls(x[train], hot[train], ncomp)
+    names = np.unique(y)
+    m = kernels.pls_of_rows(x, train, (y[train][:, None] == names[None]).astype(float), ncomp)
+    return _aucs_of(m, x, y, train, names)
+
+
+def _aucs_of(m, x, y, train, names) -> list[float]:
+    """_aucs() of a fit."""
     out = []
     for k in range(1, len(m["coefs"]) + 1):
-        p = kernels.pls_predict(m, x[~train], k)
+        p = np.concatenate([kernels.pls_predict(m, part, k) for part in kernels.stretches(x, ~train)])
         use = [1] if len(names) == 2 else range(len(names))
         with np.errstate(invalid="ignore"):
             out.append(float(np.nanmean([kernels.auc(p[:, c], y[~train] == names[c]) for c in use])))
@@ -388,23 +393,28 @@ def permutation_test(spectra: DataFrame, y: str, n: int = 50, ncomp: int = 3, te
 
 def vip_bootstrap(spectra: DataFrame, y: str, n: int = 300, ncomp: int = 3, seed: int = 0) -> DataFrame:
     """(feature, mean, error, important, relevant): how much a feature's importance drops when its column is shuffled, over n bootstraps, in units of its own deviation."""
-    spark = spectra.sparkSession
-    meta, x = matrix(spectra, y)
+    return vip_bootstraps(spectra, y, n, ncomp, seed).drop("fold")
+
+
+def vip_bootstraps(spectra: DataFrame, y: str, n: int, ncomp: int, seed: int = 0, k: int | None = None) -> DataFrame:
+    """vip_bootstrap() with a column fold; with k for each of k folds, with seed + fold, over all samples but those whose number mod k is the fold. The samples are gathered and sent out once, whatever k."""
+    spark, folds = spectra.sparkSession, k or 1
+    meta, x = matrix(spectra, y, used=1 - 1 / k if k else 1.0)
     shared = spark.sparkContext.broadcast((x, meta[y].to_numpy()))
 
     def run(batches):
         x, labels = shared.value
         for pdf in batches:
-            rows = []
-            for i in pdf["id"].tolist():
-                rng = np.random.default_rng([seed, i])
-                pick = rng.integers(0, len(x), len(x))
-                drops = kernels.vip_drops(x[pick], _one_hot(labels[pick])[1], ncomp, rng)
-                rows += enumerate(drops.tolist())
-            yield pd.DataFrame(rows, columns=["feature", "drop"])
-
-    drops = spark.range(n).repartition(min(n, 64)).mapInPandas(run, "feature int, drop double")
+            for at in pdf["id"].tolist():
+                fold, i = divmod(at, n)
+                rows = np.flatnonzero(np.arange(len(x)) % k != fold) if k else np.arange(len(x))
+                rng = np.random.default_rng([seed + fold, i])
+                pick = rows[rng.integers(0, len(rows), len(rows))]
+                drops = kernels.vip_drops(x, _one_hot(labels[pick])[1], ncomp, rng, rows=pick)
+                yield pd.DataFrame({"fold": fold, "feature": np.arange(len(drops)), "drop": drops})
+
+    drops = spark.range(folds * n).repartition(folds * min(n, 64)).mapInPandas(run, "fold int, feature int, drop double")
     t = kernels.t_quantile(0.975, n - 1)
-    each = drops.groupBy("feature").agg(F.avg("drop").alias("_m"), F.stddev_samp("drop").alias("_s"))
+    each = drops.groupBy("fold", "feature").agg(F.avg("drop").alias("_m"), F.stddev_samp("drop").alias("_s"))
     mean = F.try_divide("_m", "_s")
-    return each.select("feature", mean.alias("mean"), F.lit(t).alias("error"), (mean - t > t).alias("important"), (mean - t > 0).alias("relevant"))
+    return each.select("fold", "feature", mean.alias("mean"), F.lit(t).alias("error"), (mean - t > t).alias("important"), (mean - t > 0).alias("relevant"))

@@ -1,5 +1,6 @@
 """Steps that must not gather a table in one task, a worker or the driver, and give the plain form's results."""
 
+import tracemalloc
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumispec.functions import rounded
-from lumispec.operators import kernels, model, peaks
+from lumispec.operators import analysis, kernels, model, peaks
 
 
 def test_distances_of_crowded_peaks_are_dealt_out(spark):
@@ -121,3 +122,40 @@ def test_kernels_by_sample_hold_few_rows(spark):
     assert sum(sizes) == 2000 and max(sizes) <= model.ROWS and max(sizes) * 602 < 1.1 * model.VALUES
     rows = model.interpolate(df, (-1.0, 3.0, 1.0)).collect()
     assert sorted(r.sample_id for r in rows) == list(range(2000)) and {r.intensity[0] for r in rows} == {None} and all(abs(r.intensity[4] - r.sample_id) < 1e-6 for r in rows)
+
+
+def held(f) -> int:
+    """Bytes that f() holds at most beside its input."""
+    tracemalloc.start()
+    try:
+        f()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_fits_copy_no_matrix():
+    rng = np.random.default_rng(2)
+    x, label = rng.normal(size=(60_000, 64)), rng.integers(0, 3, 60_000)
+    x[:, 0] += label
+    train = rng.random(60_000) > 0.25
+    assert held(lambda: model._aucs(x, label, train, 2)) < 0.6 * x.nbytes
+    pick, hot = rng.integers(0, 60_000, 60_000), (label[:, None] == np.arange(3)).astype(float)
+    assert held(lambda: kernels.vip_drops(x, hot[pick], 2, rng, 1 << 18, rows=pick)) < 0.6 * x.nbytes
+
+
+@pytest.mark.parametrize("classes", [2, 5])
+def test_fits_of_stretches_are_those_of_the_matrix(classes):
+    rng = np.random.default_rng(classes)
+    label = rng.integers(0, classes, 20_000)
+    x = rng.normal(size=(20_000, 9)) + label[:, None] * np.arange(9) / 20
+    use = rng.random(20_000) > 0.25
+    hot = (label[use][:, None] == np.arange(classes)).astype(float)
+    a, b = kernels.pls_of_rows(x, use, hot, 3), kernels.pls(x[use], hot, 3)
+    for name in ("coefs", "mx", "sx", "my", "sy"):
+        assert np.allclose(a[name], b[name], atol=1e-8)
+    assert np.allclose(np.abs(a["weights"]), np.abs(b["weights"]), atol=1e-8)  # a component's sign is free
+    assert np.allclose(kernels.vip(a), kernels.vip(b), atol=1e-8)
+    pick = rng.integers(0, 20_000, 9_000)
+    got = kernels.vip_drops(x, hot := (label[pick][:, None] == np.arange(classes)).astype(float), 2, np.random.default_rng(1), rows=pick)
+    assert np.allclose(got, kernels.vip_drops(x[pick], hot, 2, np.random.default_rng(1)), atol=1e-9)
