@@ -131,11 +131,7 @@ def permuted_double_cv(data: DataFrame, y: str, identity: str = SAMPLE, n: int =
 
 def kfold_vip(data: DataFrame, y: str, k: int = 4, n: int = 300, ncomp: int = 3) -> DataFrame:
     """(feature, folds, p): in how many folds (i mod k is left out) a feature is relevant, and the one-sided signed-rank p-value of its drops."""
-    parts = None
-    numbered = data.withColumn("_i", F.row_number().over(spectra.Window.orderBy(SAMPLE)) - 1)
-    for f in range(k):
-        one = model.vip_bootstrap(numbered.where(F.col("_i") % k != f).drop("_i"), y, n, ncomp, seed=f).withColumn("fold", F.lit(f))
-        parts = one if parts is None else parts.unionByName(one)
+    parts = model.vip_bootstraps(data, y, n, ncomp, k=k)
 
     def test(pdf):
         return pd.DataFrame({"feature": [pdf["feature"].iloc[0]], "folds": [int(pdf["relevant"].fillna(False).sum())], "p": [kernels.wilcoxon_greater(pdf["mean"].dropna().to_numpy())]})

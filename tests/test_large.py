@@ -159,3 +159,23 @@ def test_fits_of_stretches_are_those_of_the_matrix(classes):
     pick = rng.integers(0, 20_000, 9_000)
     got = kernels.vip_drops(x, hot := (label[pick][:, None] == np.arange(classes)).astype(float), 2, np.random.default_rng(1), rows=pick)
     assert np.allclose(got, kernels.vip_drops(x[pick], hot, 2, np.random.default_rng(1)), atol=1e-9)
+
+
+def test_kfold_gathers_the_samples_once(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(41, 6)) + np.arange(41)[:, None] % 2 * np.array([2, 1, 0, 0, 0, 0])
+    data = spark.createDataFrame([(i, row.tolist(), i % 2) for i, row in enumerate(x)], "sample_id int, intensity array<double>, label int")
+    calls, real = [], model.matrix
+    monkeypatch.setattr(model, "matrix", lambda *a, **more: calls.append(1) or real(*a, **more))
+    got = {r.feature: (r.folds, r.p) for r in analysis.kfold_vip(data, "label", 4, 20, 2).collect()}
+    assert len(calls) == 1
+    each = [model.vip_bootstrap(data.where(F.col("sample_id") % 4 != f), "label", 20, 2, seed=f).toPandas().set_index("feature") for f in range(4)]
+    for j in range(6):
+        assert got[j][0] == sum(bool(e.loc[j, "relevant"]) for e in each)
+        assert abs(got[j][1] - kernels.wilcoxon_greater(np.array([e.loc[j, "mean"] for e in each]))) < 1e-12
+
+
+def test_kfold_takes_as_many_values_as_a_fold_may_hold(spark, monkeypatch):
+    data = spark.createDataFrame([(i, [float(i), 1.0], i % 2) for i in range(8)], "sample_id int, intensity array<double>, label int")
+    monkeypatch.setattr(model, "MATRIX", 12)
+    assert analysis.kfold_vip(data, "label", 4, 4, 1).count() == 2
